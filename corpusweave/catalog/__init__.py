@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from . import corpus, text  # noqa: F401
+from . import corpus, pairs, scores, text, vectors, vocabulary  # noqa: F401
 from .base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

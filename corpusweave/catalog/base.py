@@ -109,3 +109,16 @@ def sql_adler32(column: str) -> str:
     low = f"((1 + list_sum([{byte} FOR i IN range(1, {size} + 1)])) % 65521)"
     high = f"(({size} + list_sum([{byte} * ({size} - i + 1) FOR i IN range(1, {size} + 1)])) % 65521)"
     return f"({high} * 65536 + {low})::BIGINT"
+
+
+TOKENS = """doc_tokens AS (SELECT doc_id, lang, regexp_extract_all(text, '\\S+') AS tokens FROM documents)"""
+
+VOCAB = """counts AS (SELECT token, count(*) AS count FROM (SELECT unnest(tokens) AS token FROM doc_tokens) GROUP BY token),
+vocab AS (SELECT token, (row_number() OVER (ORDER BY count DESC, token) + 513)::INT AS id, count FROM
+  (SELECT * FROM counts ORDER BY count DESC, token LIMIT 64000))"""
+
+
+def doc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..functions.text import words
+
+    return table(spark, sf_dir, "documents").select("doc_id", "lang", words("text").alias("tokens"))

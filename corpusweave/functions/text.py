@@ -38,22 +38,46 @@ def _single_spaces(value: Column) -> Column:
     return F.regexp_replace(value, " +", " ")
 
 
-def tokenize_string(value) -> Column:
-    """Literal text → space-separated tokens with explicit white-space marks."""
-    out = _col(value)
+# Pieces of Python literals that must survive punctuation splitting.
+COMMENT_START = "#"
+PYTHON_PIECES = ["#", "\\n", '"""', "'''"]
+END_COMMENT = "ENDCOM"
+_HOLD = 0xE000  # private-use characters stand in for protected pieces
+
+
+def tokenize_literal(value, pieces: list[str] | None = None, comment: bool = False) -> Column:
+    """Text of a string literal or comment → space-separated tokens with white-space marks.
+
+    `pieces` stay whole; a comment is normalised first and closed by an end mark."""
+    out = normalize_comment(value) if comment else _col(value)
     for char, mark in ((" ", SPACE_MARK), ("\n", NEWLINE_MARK), ("\t", TAB_MARK)):
         out = F.replace(out, F.lit(char), F.lit(f" {mark} "))
+    held = {piece: chr(_HOLD + i) for i, piece in enumerate(pieces or [])}
+    for piece, mark in held.items():
+        out = F.replace(out, F.lit(piece), F.lit(f" {mark} "))
+    if COMMENT_START in held:
+        closed = F.when(
+            out.contains(f" {NEWLINE_MARK} "),
+            F.regexp_replace(out, f"(?s)^(.*?) {NEWLINE_MARK} ", f"$1 {END_COMMENT}"),
+        ).otherwise(F.concat(out, F.lit(f" {END_COMMENT}")))
+        out = F.when(F.trim(out).startswith(held[COMMENT_START]), closed).otherwise(out)
     out = _single_spaces(out)
     out = F.regexp_replace(out, r"(\P{N})(\p{P})", "$1 $2 ")
     out = F.regexp_replace(out, r"(\p{P})(\P{N})", " $1 $2")
     out = F.regexp_replace(out, r"(\p{S})", " $1 ")
     out = F.replace(_single_spaces(out), F.lit("\r"), F.lit(""))
+    for piece, mark in held.items():
+        out = F.replace(out, F.lit(mark), F.lit(piece))
     first = F.substring(out, 1, 1)
     return F.when(
         first.rlike(r"^\p{L}$"), F.replace(out, F.concat(first, F.lit(" ")), first)
     ).otherwise(out)
 
 
+def tokenize_string(value) -> Column:
+    return tokenize_literal(value)
+
+
 def detokenize_string(value) -> Column:
     return F.replace(F.replace(_col(value), F.lit(" "), F.lit("")), F.lit(SPACE_MARK), F.lit(" "))
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import id_from_class_name, words
+from ..session import hint_if_small
 
 
 def join_tests(tests: DataFrame, functions: DataFrame, class_column: str = "TARGET_CLASS", func_id: str = "func_id") -> DataFrame:
@@ -19,30 +20,47 @@ def join_tests(tests: DataFrame, functions: DataFrame, class_column: str = "TARG
 # --- containment join -------------------------------------------------------------------
 
 
-def _gram_keys(text: Column, sizes: list[int]) -> Column:
-    """Distinct character pieces of the given sizes; size 0 is the empty piece."""
-    pieces = [
-        F.array(F.lit(""))
-        if size == 0
-        else F.when(
-            F.length(text) >= size,
-            F.transform(
-                F.sequence(F.lit(1), F.length(text) - size + 1),
-                lambda i, size=size: F.substring(text, i, F.lit(size)),
-            ),
+def _pieces(word: Column, size: int) -> Column:
+    """Distinct character pieces of one size of a word."""
+    return F.array_distinct(
+        F.when(
+            F.length(word) >= size,
+            F.transform(F.sequence(F.lit(1), F.length(word) - size + 1), lambda i: F.substring(word, i, F.lit(size))),
         ).otherwise(F.array().cast("array<string>"))
-        for size in sizes
-    ]
-    return F.array_distinct(F.concat(*pieces))
+    )
+
+
+PIECE = 4
 
 
-def _candidates(rows: DataFrame, row_id: str, keys: Column, blocks: DataFrame, snippet_id: str) -> DataFrame:
-    """(row, snippet) pairs that share the snippet's block key, without any text."""
-    exploded = rows.select(row_id, F.explode(keys).alias("__key"))
-    return exploded.join(blocks, "__key").select(row_id, snippet_id)
+def _by_inner_word(tokens: DataFrame, row_id: str, named: DataFrame, snippet_id: str) -> DataFrame:
+    """Candidates for snippets of three or more words. Their inner words are whole words of
+    any containing text; the one in the fewest rows is the block key."""
+    inner = named.filter(F.size("__inner") > 0).select(snippet_id, F.explode("__inner").alias("__word"))
+    wanted = hint_if_small(inner.select("__word").distinct())
+    frequency = tokens.join(wanted, "__word", "left_semi").groupBy("__word").agg(F.count(F.lit(1)).alias("__df"))
+    counted = inner.join(frequency, "__word", "left").withColumn("__df", F.coalesce("__df", F.lit(0)))
+    rarest = counted.groupBy(snippet_id).agg(F.min_by("__word", F.struct("__df", "__word")).alias("__word"))
+    return tokens.join(hint_if_small(rarest), "__word").select(row_id, snippet_id)
 
 
-GRAM = 4
+def _by_part_of_word(tokens: DataFrame, row_id: str, named: DataFrame, snippet_id: str) -> DataFrame:
+    """Candidates for snippets of one or two words: some word of the text must contain the
+    snippet's longest word. Matching runs on distinct words, blocked by character pieces."""
+    words_of = F.filter("__words", lambda t: t != "")
+    longest = F.element_at(F.array_sort(F.transform(words_of, lambda t: F.struct(F.length(t).alias("n"), t.alias("t")))), -1)["t"]
+    part = named.filter((F.size("__inner") == 0) & (F.size(words_of) > 0)).select(snippet_id, longest.alias("__part"))
+    vocabulary = tokens.select("__word").distinct()
+    sizes = F.least(F.length("__part"), F.lit(PIECE))
+    parts = part.select("__part").distinct().withColumns({"__size": sizes, "__piece": F.substring(F.col("__part"), F.lit(1), sizes)})
+    pieces = F.flatten(F.array(*[
+        F.transform(_pieces(F.col("__word"), n), lambda p: F.struct(p.alias("__piece"), F.length(p).alias("__size")))
+        for n in range(1, PIECE + 1)
+    ]))
+    blocks = vocabulary.select("__word", F.inline(pieces))
+    hits = blocks.join(hint_if_small(parts), ["__piece", "__size"]).filter(F.col("__word").contains(F.col("__part")))
+    matches = hits.select("__word", "__part").join(part, "__part").select("__word", snippet_id)
+    return tokens.join(matches, "__word").select(row_id, snippet_id).distinct()
 
 
 def contains_join(
@@ -50,35 +68,33 @@ def contains_join(
 ) -> DataFrame:
     """All (row, snippet) pairs where the row's text contains the snippet.
 
-    A snippet of three or more words holds inner words that any containing text must hold as
-    whole words: the rarest of them (by rows that have it) is its block key. Shorter ones use
-    a character piece in the same way. Candidates come from equi-joins on block keys and are
-    verified on the full text, so the result equals the nested loop."""
-    pieces = F.split(F.col(snippet), r"\s+")
+    Candidates come from equi-joins on words, without any text, and are verified on the full
+    text, so the result equals the nested loop. Snippets without any word (blanks only) are
+    few and meet every row."""
+    split = F.split(F.col(snippet), r"\s+")
+    inner = F.slice(split, F.lit(2), F.greatest(F.size(split) - 2, F.lit(0)))
     named = snippets.select(
-        snippet_id, F.col(snippet).alias("__snippet"),
-        F.array_distinct(F.filter(F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 2, F.lit(0))), lambda t: t != "")).alias("__inner"),
-    )
-    long = named.filter(F.size("__inner") > 0).select(snippet_id, F.explode("__inner").alias("__key"))
-    tokens = df.select(row_id, F.explode(F.array_distinct(words(text))).alias("__key"))
-    frequency = tokens.join(long.select("__key").distinct(), "__key", "left_semi").groupBy("__key").agg(
-        F.count(F.lit(1)).alias("__df")
-    )
-    # a word in no row proves that no row contains the snippet, so the inner join may drop it
-    counted = long.join(frequency, "__key", "left")
-    rarest = counted.groupBy(snippet_id).agg(
-        F.min_by("__key", F.struct(F.coalesce("__df", F.lit(0)), F.col("__key"))).alias("__key")
-    )
-    found = _candidates(df, row_id, F.array_distinct(words(text)), rarest, snippet_id)
-
-    short = named.filter(F.size("__inner") == 0).withColumn(
-        "__size", F.least(F.length("__snippet"), F.lit(GRAM))
+        snippet_id, F.col(snippet).alias("__snippet"), split.alias("__words"),
+        F.array_distinct(F.filter(inner, lambda t: t != "")).alias("__inner"),
     )
-    sizes = sorted(r[0] for r in short.select("__size").distinct().collect())  # at most GRAM + 1 values
-    if sizes:
-        blocks = short.select(snippet_id, F.substring(F.col("__snippet"), F.lit(1), F.col("__size")).alias("__key"))
-        found = found.unionByName(_candidates(df, row_id, _gram_keys(F.col(text), sizes), blocks, snippet_id))
-    pairs = found.join(named.select(snippet_id, "__snippet"), snippet_id).join(df, row_id)
+    tokens = df.select(row_id, F.explode(F.array_distinct(words(text))).alias("__word"))
+    kinds = named.agg(
+        F.max(F.size("__inner") > 0).alias("long"),
+        F.max((F.size("__inner") == 0) & ~F.col("__snippet").rlike(r"^\s*$")).alias("short"),
+        F.max(F.col("__snippet").rlike(r"^\s*$")).alias("blank"),
+    ).first()
+    found = []
+    if kinds["long"]:
+        found.append(_by_inner_word(tokens, row_id, named, snippet_id))
+    if kinds["short"]:
+        found.append(_by_part_of_word(tokens, row_id, named, snippet_id))
+    if kinds["blank"]:
+        blank = named.filter(F.col("__snippet").rlike(r"^\s*$")).select(F.lit("").alias("__word"), snippet_id)
+        found.append(df.select(row_id, F.lit("").alias("__word")).join(hint_if_small(blank), "__word").select(row_id, snippet_id))
+    if not found:  # no snippets at all
+        found.append(_by_inner_word(tokens, row_id, named, snippet_id))
+    candidates = reduce(DataFrame.unionByName, found)
+    pairs = candidates.join(named.select(snippet_id, "__snippet"), snippet_id).join(df, row_id)
     return pairs.filter(F.col(text).contains(F.col("__snippet"))).drop("__snippet")
 
 

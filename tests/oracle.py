@@ -73,7 +73,10 @@ def main():
     spark, db = build_session("oracle", 8), connect(sf_dir)
     oracles, bad = entry.oracle_sql(), 0
     for name, fn in entry.queries().items():
-        if not re.search(pattern, name):
+        if pattern.startswith("mod:"):
+            if fn.__module__.rsplit(".", 1)[-1] not in pattern[4:].split(","):
+                continue
+        elif not re.search(pattern, name):
             continue
         try:
             message, seconds, rows = compare(spark, db, name, fn, oracles.get(name), sf_dir)
