@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .binding import let
+
 ADLER_MODULUS = 65521
 
 
@@ -14,21 +16,24 @@ def _col(c) -> Column:
 
 def adler32(value) -> Column:
     """Adler-32 checksum of the UTF-8 bytes of a string."""
-    text = F.hex(F.encode(_col(value), "UTF-8"))
-    n = F.length(text) / 2
-    bytes_ = F.when(n < 1, F.array().cast("array<bigint>")).otherwise(
-        F.transform(
-            F.sequence(F.lit(1), n.cast("int")),
-            lambda i: F.conv(F.substring(text, 2 * i - 1, F.lit(2)), 16, 10).cast("bigint"),
+
+    def of_hex(text: Column) -> Column:
+        n = F.length(text) / 2
+        bytes_ = F.when(n < 1, F.array().cast("array<bigint>")).otherwise(
+            F.transform(
+                F.sequence(F.lit(1), n.cast("int")),
+                lambda i: F.conv(F.substring(text, 2 * i - 1, F.lit(2)), 16, 10).cast("bigint"),
+            )
         )
-    )
-    start = F.struct(F.lit(1).cast("bigint").alias("a"), F.lit(0).cast("bigint").alias("b"))
+        start = F.struct(F.lit(1).cast("bigint").alias("a"), F.lit(0).cast("bigint").alias("b"))
+
+        def step(acc, byte):
+            a = (acc["a"] + byte) % ADLER_MODULUS
+            return F.struct(a.alias("a"), ((acc["b"] + a) % ADLER_MODULUS).alias("b"))
 
-    def step(acc, byte):
-        a = (acc["a"] + byte) % ADLER_MODULUS
-        return F.struct(a.alias("a"), ((acc["b"] + a) % ADLER_MODULUS).alias("b"))
+        return F.aggregate(bytes_, start, step, lambda acc: acc["b"] * 65536 + acc["a"])
 
-    return F.aggregate(bytes_, start, step, lambda acc: acc["b"] * 65536 + acc["a"])
+    return let(F.hex(F.encode(_col(value), "UTF-8")), of_hex)
 
 
 def _seeded(seed, *keys) -> Column:

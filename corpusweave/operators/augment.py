@@ -4,7 +4,6 @@ position, so results do not change with partitioning or retries."""
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -12,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.arrays import EOS, MASK, PAD
+from ..functions.binding import let
 from ..functions.hashing import _col, uniform
 from ..functions.text import format_dictionary, parse_dictionary
 
@@ -29,28 +29,34 @@ def mask_tokens(
 ) -> Column:
     """struct(ids, targets): positions picked with probability p (never the first, never
     padding); targets hold the original id where picked, else null."""
-    array = _col(ids)
-    picked = lambda x, i: (uniform(f"{seed}p", row_id, i) <= p) & (i > 0) & (x != PAD)
-    changed = F.transform(
-        array,
-        lambda x, i: F.when(
-            picked(x, i), _masked(x, uniform(f"{seed}a", row_id, i), uniform(f"{seed}r", row_id, i), probs, n_words)
-        ).otherwise(x),
+    def one(x: Column, i: Column) -> Column:
+        picked = (uniform(f"{seed}p", row_id, i) <= p) & (i > 0) & (x != PAD)
+        changed = _masked(x, uniform(f"{seed}a", row_id, i), uniform(f"{seed}r", row_id, i), probs, n_words)
+        return F.struct(F.when(picked, changed).otherwise(x).alias("id"), F.when(picked, x).alias("target"))
+
+    return let(
+        F.transform(_col(ids), one),
+        lambda both: F.struct(
+            F.transform(both, lambda t: t["id"]).alias("ids"), F.transform(both, lambda t: t["target"]).alias("targets")
+        ),
     )
-    targets = F.transform(array, lambda x, i: F.when(picked(x, i), x))
-    return F.struct(changed.alias("ids"), targets.alias("targets"))
 
 
 def mask_eval(ids, row_id: str, p: float, seed: int = 0) -> Column:
     """Mask with probability p between the end marks; at least one word per sentence (the
     one with the lowest draw)."""
     array = _col(ids)
-    inner = F.slice(F.transform(array, lambda x, i: uniform(seed, row_id, i)), F.lit(2), F.greatest(F.size(array) - 2, F.lit(0)))
-    limit = F.greatest(F.array_min(inner), F.lit(p))
-    return F.transform(
-        array,
-        lambda x, i: F.when((i > 0) & (i < F.size(array) - 1) & (uniform(seed, row_id, i) <= limit), F.lit(MASK)).otherwise(x),
-    )
+    inner = lambda i: (i > 0) & (i < F.size(array) - 1)
+    draws = F.transform(array, lambda x, i: F.when(inner(i), uniform(seed, row_id, i)))
+
+    def mask(drawn: Column) -> Column:
+        limit = F.greatest(F.array_min(drawn), F.lit(p))
+        return let(
+            limit,
+            lambda bound: F.zip_with(array, drawn, lambda x, u: F.when(u <= bound, F.lit(MASK)).otherwise(x)),
+        )
+
+    return let(draws, mask)
 
 
 def mask_weighted(
@@ -102,9 +108,11 @@ def word_dropout(ids, row_id: str, p: float, seed: int = 0) -> Column:
     if p == 0:
         return array
     body = _body(array)
-    kept = F.filter(body, lambda x, i: (i == 0) | (uniform(seed, row_id, i) >= p))
     pick = 1 + F.floor(uniform(f"{seed}one", row_id) * (F.size(body) - 1)).cast("int")
-    saved = F.when((F.size(kept) == 1) & (F.size(body) > 1), F.array_append(kept, F.get(body, pick))).otherwise(kept)
+    saved = let(
+        F.filter(body, lambda x, i: (i == 0) | (uniform(seed, row_id, i) >= p)),
+        lambda kept: F.when((F.size(kept) == 1) & (F.size(body) > 1), F.array_append(kept, F.get(body, pick))).otherwise(kept),
+    )
     return F.concat(saved, _end())
 
 
@@ -206,12 +214,13 @@ def add_noise(df: DataFrame, row_id: str, ids: str, shuffle_k: float, dropout: f
 
 def deobfuscate_occurrences(df: DataFrame, row_id: str, tokens: str, dictionary: str, p: float, seed: int = 0) -> DataFrame:
     """Give each single occurrence of a placeholder its name back with probability p."""
-    named = df.withColumn("__d", parse_dictionary(dictionary))
-    restored = F.transform(
-        tokens,
-        lambda t, i: F.when(uniform(seed, row_id, i) <= p, F.coalesce(F.try_element_at(F.col("__d"), t), t)).otherwise(t),
-    )
-    return named.select(row_id, restored.alias("tokens"))
+    def restore(names: Column) -> Column:
+        return F.transform(
+            tokens,
+            lambda t, i: F.when(uniform(seed, row_id, i) <= p, F.coalesce(F.try_element_at(names, t), t)).otherwise(t),
+        )
+
+    return df.select(row_id, let(parse_dictionary(dictionary), restore).alias("tokens"))
 
 
 def deobfuscate_identifiers(
@@ -220,20 +229,25 @@ def deobfuscate_identifiers(
     """Give whole identifiers their names back with probability p; at least one stays
     hidden (the one with the highest draw). The dictionary keeps only hidden ones; results
     of `max_len` or more tokens are dropped."""
-    named = df.withColumn("__d", parse_dictionary(dictionary))
-    drawn = named.withColumn(
-        "__e", F.transform(F.map_entries("__d"), lambda e: F.struct(uniform(seed, row_id, e["key"]).alias("u"), e["key"].alias("key"), e["value"].alias("value")))
-    ).withColumn("__top", F.array_max("__e"))
-    shown = lambda e: (e["u"] <= p) & ((F.col("__top")["u"] > p) | (e["key"] != F.col("__top")["key"]))
-    as_map = lambda entries: F.map_from_entries(F.transform(entries, lambda e: F.struct(e["key"], e["value"])))
-    split = drawn.withColumns({
-        "__shown": as_map(F.filter("__e", shown)), "__hidden": as_map(F.filter("__e", lambda e: ~shown(e))),
-    })
-    restored = F.flatten(F.transform(tokens, lambda t: F.split(F.coalesce(F.try_element_at(F.col("__shown"), t), t), " ")))
-    out = split.select(row_id, restored.alias("tokens"), format_dictionary("__hidden").alias("dictionary"))
-    return out.filter(F.size("tokens") < max_len)
+    entries = F.transform(
+        F.map_entries(parse_dictionary(dictionary)),
+        lambda e: F.struct(uniform(seed, row_id, e["key"]).alias("u"), e["key"].alias("key"), e["value"].alias("value")),
+    )
 
+    def as_map(chosen: Column) -> Column:
+        return F.map_from_entries(F.transform(chosen, lambda e: F.struct(e["key"], e["value"])))
 
-def compose(df: DataFrame, *steps) -> DataFrame:
-    """Chain of DataFrame → DataFrame steps."""
-    return reduce(lambda current, step: current.transform(step), steps, df)
+    def restore(drawn: Column) -> Column:
+        def split(top: Column) -> Column:
+            shown = lambda e: (e["u"] <= p) & ((top["u"] > p) | (e["key"] != top["key"]))
+            text = let(
+                as_map(F.filter(drawn, shown)),
+                lambda names: F.flatten(F.transform(tokens, lambda t: F.split(F.coalesce(F.try_element_at(names, t), t), " "))),
+            )
+            hidden = as_map(F.filter(drawn, lambda e: ~shown(e)))
+            return F.struct(text.alias("tokens"), format_dictionary(hidden).alias("dictionary"))
+
+        return let(F.array_max(drawn), split)
+
+    out = df.select(row_id, let(entries, restore).alias("__r")).select(row_id, "__r.tokens", "__r.dictionary")
+    return out.filter(F.size("tokens") < max_len)

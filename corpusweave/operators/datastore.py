@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.arrays import EOS, UNK
-from ..functions.text import format_dictionary, words
+from ..functions.binding import let
+from ..functions.text import NAME_PREFIXES, format_dictionary, parse_dictionary, words
 from ..session import hint_if_small
 
 END_WORD = "</s>"  # fixed value
@@ -98,32 +99,33 @@ PLACEHOLDER = r"((?:VAR|FUNC|CLASS)_\d+)"
 def renumber_identifiers(df: DataFrame, row_id: str, code: str, dictionary: str) -> DataFrame:
     """Dense new numbers per prefix in order of first appearance; dictionary re-keyed.
 
-    All work is inside the row: distinct placeholders keep first-appearance order, a new
+    All work is inside the row: distinct placeholders keep first-appearance order, and a new
     number is the position among those with the same prefix."""
-    found = F.array_distinct(F.regexp_extract_all(code, F.lit(PLACEHOLDER), F.lit(1)))
-    prefix = lambda name: F.regexp_extract(name, r"^([A-Z]+_)", 1)
-    staged = df.withColumn("__found", found)
-    renamed = F.transform(
-        "__found",
-        lambda name, i: F.struct(
-            name.alias("old"),
-            F.concat(
-                prefix(name),
-                F.size(F.filter(F.slice("__found", F.lit(1), i), lambda other: prefix(other) == prefix(name))),
-            ).alias("new"),
-        ),
-    )
-    staged = staged.withColumn("__names", F.map_from_entries(renamed))
-    # split keeps the text between placeholders, so each placeholder is replaced exactly once
-    between = F.split(code, PLACEHOLDER.replace("((?:", "(?:").removesuffix(")"), -1)
     marks = F.regexp_extract_all(code, F.lit(PLACEHOLDER), F.lit(1))
-    text = F.array_join(
-        F.transform(between, lambda part, i: F.concat(part, F.coalesce(F.element_at("__names", F.get(marks, i)), F.lit("")))), ""
-    )
-    old = F.str_to_map(F.col(dictionary), F.lit(r" \| "), F.lit(" "))
-    fresh = F.map_from_entries(
-        F.transform(F.map_entries("__names"), lambda e: F.struct(e["value"], F.element_at("__old", e["key"])))
-    )
-    return staged.withColumn("__old", old).select(
-        row_id, text.alias("code"), format_dictionary(fresh).alias("dictionary")
-    )
+    # the text between placeholders, so that each placeholder is replaced exactly once
+    between = F.split(code, PLACEHOLDER.replace("((?:", "(?:").removesuffix(")"), -1)
+
+    def numbered(found: Column, prefix: str) -> Column:
+        same = F.filter(found, lambda name: name.startswith(prefix))
+        return F.transform(same, lambda name, i: F.struct(name.alias("old"), F.concat(F.lit(prefix), i).alias("new")))
+
+    def names_of(found: Column) -> Column:
+        return F.map_from_entries(F.concat(*[numbered(found, prefix) for prefix in NAME_PREFIXES]))
+
+    def rewrite(names: Column) -> Column:
+        text = let(
+            marks,
+            lambda m: F.transform(
+                between, lambda part, i: F.concat(part, F.coalesce(F.try_element_at(names, F.get(m, i)), F.lit("")))
+            ),
+        )
+        fresh = let(
+            parse_dictionary(dictionary),
+            lambda old: F.map_from_entries(
+                F.transform(F.map_entries(names), lambda e: F.struct(e["value"], F.try_element_at(old, e["key"])))
+            ),
+        )
+        return F.struct(F.array_join(text, "").alias("code"), format_dictionary(fresh).alias("dictionary"))
+
+    renamed = let(let(F.array_distinct(marks), names_of), rewrite)
+    return df.select(row_id, renamed.alias("__r")).select(row_id, "__r.code", "__r.dictionary")

@@ -159,7 +159,8 @@ MAX_ORDER = 4
 
 
 def _ngrams(df: DataFrame, keys: list[str], tokens: str) -> DataFrame:
-    """Counts per (keys, n, n-gram) for n = 1…4; the text form keeps token borders."""
+    """One row per (keys, n, n-gram) for n = 1…4; the text form keeps token borders."""
+
     def of_order(n: int) -> Column:
         every = F.transform(
             F.sequence(F.lit(1), F.size(tokens) - (n - 1)),
@@ -168,16 +169,23 @@ def _ngrams(df: DataFrame, keys: list[str], tokens: str) -> DataFrame:
         return F.when(F.size(tokens) >= n, every).otherwise(F.array().cast("array<struct<n:int,gram:string>>"))
 
     pieces = [of_order(n) for n in range(1, MAX_ORDER + 1)]
-    grams = df.select(*keys, F.explode(F.concat(*pieces)).alias("g"))
-    return grams.groupBy(*keys, "g.n", "g.gram").agg(F.count(F.lit(1)).alias("count"))
+    return df.select(*keys, F.explode(F.concat(*pieces)).alias("g")).select(*keys, "g.n", "g.gram")
 
 
 def bleu(hyp: DataFrame, refs: DataFrame, line_id: str, hyp_tokens: str, ref_tokens: str, ref_no: str) -> DataFrame:
-    """Corpus BLEU-4 in percent with clipped counts and the closest reference length."""
-    hyp_counts = _ngrams(hyp, [line_id], hyp_tokens)
-    ref_counts = _ngrams(refs, [line_id, ref_no], ref_tokens)
-    best = ref_counts.groupBy(line_id, "n", "gram").agg(F.max("count").alias("ref_count"))
-    matched = hyp_counts.join(best, [line_id, "n", "gram"], "left")
+    """Corpus BLEU-4 in percent with clipped counts and the closest reference length.
+
+    Token arrays are shuffled once by line; n-grams, which are many times larger, are made
+    and counted inside the partition that holds their line."""
+    sides = hyp.select(line_id, F.lit(None).cast("string").alias("__ref"), F.col(hyp_tokens).alias("__t")).unionByName(
+        refs.select(line_id, F.col(ref_no).cast("string").alias("__ref"), F.col(ref_tokens).alias("__t"))
+    )
+    grams = _ngrams(sides.repartition(line_id), [line_id, "__ref"], "__t")
+    counts = grams.groupBy(line_id, "n", "gram", "__ref").agg(F.count(F.lit(1)).alias("c"))
+    own = F.col("__ref").isNull()
+    matched = counts.groupBy(line_id, "n", "gram").agg(
+        F.max(F.when(own, F.col("c"))).alias("count"), F.max(F.when(~own, F.col("c"))).alias("ref_count")
+    ).filter(F.col("count").isNotNull())
     by_order = matched.agg(
         *[F.sum(F.when(F.col("n") == n, F.least("count", F.coalesce("ref_count", F.lit(0)))).otherwise(0)).alias(f"c{n}") for n in range(1, 5)],
         *[F.sum(F.when(F.col("n") == n, F.col("count")).otherwise(0)).alias(f"t{n}") for n in range(1, 5)],

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.binding import let
 from ..functions.hashing import _col, adler32, shuffle_rank, uniform
 from ..session import keep
 from .ordering import with_group_rank, with_row_index
@@ -19,11 +20,11 @@ def split_label(repo, percent_test: int = 1, percent_valid: int = 1) -> Column:
     """`repo` is the field before the bar, blanks included; the owner part is ignored."""
     field = _col(repo)
     name = F.substring(field, F.instr(field, "/") + 1, F.length(field))
-    bucket = adler32(name) % 100
-    return (
-        F.when(bucket < percent_test, "test")
+    return let(
+        adler32(name) % 100,
+        lambda bucket: F.when(bucket < percent_test, "test")
         .when(bucket >= percent_test + percent_valid, "train")
-        .otherwise("valid")
+        .otherwise("valid"),
     )
 
 
