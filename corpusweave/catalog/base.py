@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
@@ -27,8 +29,13 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+# Tables whose rows are long enough that the work per row outweighs one small shuffle.
+LONG_ROWS = {"documents", "conversations", "pages"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in LONG_ROWS else df
 
 
 # Shared inputs, once as DataFrames and once as SQL text.

@@ -25,13 +25,10 @@ def _initial_symbols(word: Column) -> Column:
 
 
 def _pair_counts(state: DataFrame) -> DataFrame:
-    symbols = F.split(F.trim("symbols"), " ")
-    n = F.size("s")
-    pairs = F.transform(
-        F.slice("s", F.lit(1), n - 1),
-        lambda left, i: F.struct(left.alias("left"), F.get(F.col("s"), i + 1).alias("right")),
-    )
-    exploded = state.select(symbols.alias("s"), "count").filter(n > 1).select(F.explode(pairs).alias("p"), "count")
+    symbols = state.select(F.split(F.trim("symbols"), " ").alias("s"), "count")
+    n = F.size("s") - 1
+    pairs = F.arrays_zip(F.slice("s", F.lit(1), n).alias("left"), F.slice("s", F.lit(2), n).alias("right"))
+    exploded = symbols.select(F.explode(pairs).alias("p"), "count")
     return exploded.groupBy("p.left", "p.right").agg(F.sum("count").alias("count"))
 
 
@@ -97,7 +94,9 @@ def learn_bpe(counts: DataFrame, n_merges: int, word: str = "word", count: str =
             break
         chosen = chosen[: n_merges - len(merges)]
         merges += chosen
-        state = materialize(state.withColumn("symbols", _merge(F.col("symbols"), chosen)))
+        merged = state.withColumn("symbols", _merge(F.col("symbols"), chosen))
+        # a word of one symbol has no pairs left
+        state = materialize(merged.filter(F.col("symbols").rlike(r"\S \S")))
     rows = [(i, left, right, n) for i, (left, right, n) in enumerate(merges)]
     return spark.createDataFrame(rows, "rank int, left string, right string, count long")
 

@@ -16,6 +16,7 @@ from .ordering import with_row_index
 
 # Base words and the number of placeholders per kind, in id order.
 BASE_WORDS = ["<s>", "</s>", "<pad>", "<unk>"]
+LINE_SEPARATOR = "\u2028"  # a word with it would split a vocabulary line
 PLACEHOLDERS = {"CLASS": 100, "FUNC": 200, "VAR": 200}
 
 RESERVED = (
@@ -44,7 +45,7 @@ def reserved_vocab(spark: SparkSession) -> DataFrame:
 
 
 def _usable(counts: DataFrame) -> DataFrame:
-    return counts.filter(~F.col("token").isin(RESERVED) & ~F.col("token").contains(" ") & (F.col("token") != ""))
+    return counts.filter(~F.col("token").isin(RESERVED) & ~F.col("token").contains(LINE_SEPARATOR) & (F.col("token") != ""))
 
 
 def build_vocab(counts: DataFrame, n: int | None = VOCAB_SIZE) -> DataFrame:

@@ -7,13 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions.code import usable_test
 from ..functions.text import split_id_line, words
-from ..operators.vocab import FIRST_ORDINARY, RESERVED
+from ..operators.vocab import FIRST_ORDINARY, LINE_SEPARATOR, RESERVED
 from ..operators.ordering import with_row_index
 from ..session import scratch_path
 
 CODE_SCHEMA = "repo_name string, content string, _corrupt string"
 UNIT_TEST_SCHEMA = "TARGET_CLASS string, tests_strings string, scaffoldings_strings string, mutation_score double, asserts int, python_translated_tests string, _corrupt string"
-LINE_SEPARATOR = "\u2028"
 REPORT_SCHEMA = "TARGET_CLASS string, MutationScore double, LineCoverage double, BranchCoverage double"
 
 
