@@ -71,13 +71,13 @@ STATUS = """CASE event_type WHEN 'purchase' THEN 'success' WHEN 'error' THEN 'fa
   WHEN 'view' THEN 'timeout' ELSE 'compile_error' END"""
 
 RUNS = f"""runs AS (
-  SELECT user_id AS func_id, event_id AS beam, {STATUS} AS status, value,
+  SELECT event_id // 5 AS func_id, (event_id % 5)::INT AS beam, {STATUS} AS status, value,
          event_type || ' ( ' || props || ' )' AS code, event_type AS lang
   FROM events)"""
 
 
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as test runs: one candidate per event, in event order, for each user."""
+    """Events as test runs: five neighbouring events are the five candidates of a function."""
     status = (
         F.when(F.col("event_type") == "purchase", "success")
         .when(F.col("event_type") == "error", "failure")
@@ -85,8 +85,8 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise("compile_error")
     )
     return table(spark, sf_dir, "events").select(
-        F.col("user_id").alias("func_id"),
-        F.col("event_id").alias("beam"),
+        F.floor(F.col("event_id") / 5).alias("func_id"),
+        (F.col("event_id") % 5).cast("int").alias("beam"),
         status.alias("status"),
         "value",
         F.concat("event_type", F.lit(" ( "), "props", F.lit(" )")).alias("code"),

@@ -125,25 +125,25 @@ def _(spark, sf):
     return joins.both_successful(python, cpp, "python", "cpp")
 
 
-_CAND = """c AS (SELECT user_id, list(event_type || value ORDER BY event_id) AS codes, list(event_type IN ('purchase', 'click') ORDER BY event_id) AS ok,
-  list(event_id ORDER BY event_id) AS ids FROM events GROUP BY user_id),
-s AS (SELECT user_id, ok[1] AS first_ok, codes[1] AS first_code,
+_CAND = """e AS (SELECT *, event_id // 5 AS func_id FROM events),
+c AS (SELECT func_id, list(event_type || value ORDER BY event_id) AS codes, list(event_type IN ('purchase', 'click') ORDER BY event_id) AS ok FROM e GROUP BY func_id),
+s AS (SELECT func_id, ok[1] AS first_ok, codes[1] AS first_code,
   list_filter(list_zip(codes, ok), lambda x: x[2])[1] AS first_good FROM c),
-n AS (SELECT user_id, arg_min('knn' || props, event_id) AS near, arg_min('knn' || props, event_id) FILTER (WHERE event_type = 'view') AS near_good FROM events GROUP BY user_id)"""
+n AS (SELECT func_id, arg_min('knn' || props, event_id) AS near, arg_min('knn' || props, event_id) FILTER (WHERE event_type = 'view') AS near_good FROM e GROUP BY func_id)"""
 
 
 @query("choose_candidate", f"""
 WITH {_CAND}
-SELECT user_id, 'constrained' AS mode, CASE WHEN first_ok THEN first_code WHEN first_good IS NOT NULL THEN first_good[1]
+SELECT func_id, 'constrained' AS mode, CASE WHEN first_ok THEN first_code WHEN first_good IS NOT NULL THEN first_good[1]
    WHEN near_good IS NOT NULL THEN near_good ELSE first_code END AS code,
   CASE WHEN first_ok THEN 'beam0' WHEN first_good IS NOT NULL THEN 'constrained' WHEN near_good IS NOT NULL THEN 'neighbour' ELSE 'beam0' END AS origin
-FROM s JOIN n USING (user_id)
+FROM s JOIN n USING (func_id)
 UNION ALL
-SELECT user_id, 'restricted', CASE WHEN first_ok THEN first_code ELSE near END, CASE WHEN first_ok THEN 'beam0' ELSE 'neighbour' END FROM s JOIN n USING (user_id)
+SELECT func_id, 'restricted', CASE WHEN first_ok THEN first_code ELSE near END, CASE WHEN first_ok THEN 'beam0' ELSE 'neighbour' END FROM s JOIN n USING (func_id)
 UNION ALL
-SELECT user_id, 'free', near, 'neighbour' FROM s JOIN n USING (user_id)""")
+SELECT func_id, 'free', near, 'neighbour' FROM s JOIN n USING (func_id)""")
 def _(spark, sf):
-    e = table(spark, sf, "events")
+    e = table(spark, sf, "events").withColumn("func_id", F.floor(F.col("event_id") / 5))
     beams = F.transform(
         F.array_sort(F.collect_list(F.struct("event_id", F.concat("event_type", "value").alias("code"), F.col("event_type").isin("purchase", "click").alias("compiles")))),
         lambda c: F.struct(c["code"].alias("code"), c["compiles"].alias("compiles")),
@@ -152,24 +152,24 @@ def _(spark, sf):
         F.array_sort(F.collect_list(F.struct("event_id", F.concat(F.lit("knn"), "props").alias("code"), (F.col("event_type") == "view").alias("compiles")))),
         lambda c: F.struct(c["code"].alias("code"), c["compiles"].alias("compiles")),
     )
-    c = e.groupBy("user_id").agg(beams.alias("f"), near.alias("n"))
+    c = e.groupBy("func_id").agg(beams.alias("f"), near.alias("n"))
     modes = [("constrained", True, True), ("restricted", False, True), ("free", False, False)]
     picks = F.array(*[
         F.struct(F.lit(name).alias("mode"), joins.choose_candidate("f", "n", constrained, restricted).alias("p"))
         for name, constrained, restricted in modes
     ])
-    return c.select("user_id", F.explode(picks).alias("x")).select("user_id", "x.mode", "x.p.*")
+    return c.select("func_id", F.explode(picks).alias("x")).select("func_id", "x.mode", "x.p.*")
 
 
 @query("invert_groups", """SELECT DISTINCT lang || '/' || source AS repo, lang AS "group" FROM documents""")
 def _(spark, sf):
-    groups = docs(spark, sf).groupBy("lang").agg(F.collect_set("repo").alias("repos"))
+    groups = docs(spark, sf).select("lang", F.array("repo").alias("repos")).distinct()
     return joins.invert_groups(groups, "lang", "repos")
 
 
 @query("repeated_members", "SELECT source AS repo, count(DISTINCT lang) AS n FROM documents GROUP BY source HAVING count(DISTINCT lang) > 1")
 def _(spark, sf):
-    groups = docs(spark, sf).groupBy("lang").agg(F.collect_set("source").alias("repos"))
+    groups = docs(spark, sf).select("lang", F.array("source").alias("repos")).distinct()
     return joins.repeated_members(joins.invert_groups(groups, "lang", "repos"))
 
 

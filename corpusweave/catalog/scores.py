@@ -10,12 +10,7 @@ _PER_FUNCTION = """f AS (SELECT func_id, CASE WHEN bool_or(status = 'success') T
   bool_or(status = 'success' AND value > 100) AS gold, arg_min(lang, beam) AS origin, arg_min(CASE WHEN value > 200 THEN 1 WHEN value < 1 THEN -1 ELSE 0 END, beam) AS rules
   FROM r GROUP BY func_id)"""
 
-# Few candidates per function: (user, value rounded) plays the function.
-_RUNS2 = f"{RUNS}, r AS (SELECT func_id * 1000 + floor(value)::BIGINT AS func_id, beam, status, value, code, lang FROM runs)"
-
-
-def _runs(spark, sf):
-    return runs(spark, sf).withColumn("func_id", F.col("func_id") * 1000 + F.floor("value"))
+_RUNS2 = f"{RUNS}, r AS (SELECT * FROM runs)"
 
 
 @query("outcome_stats", f"""
@@ -27,7 +22,7 @@ SELECT count(*) FILTER (WHERE status = 'success') AS success, count(*) FILTER (W
   count(*) FILTER (WHERE origin = 'signup') AS fixed_constrained, count(*) FILTER (WHERE origin = 'click') AS fixed_knnmt,
   count(*) AS total, count(*) - count(*) FILTER (WHERE status = 'script_not_found') AS total_evaluated FROM f""")
 def _(spark, sf):
-    r = _runs(spark, sf).withColumns({
+    r = runs(spark, sf).withColumns({
         "detail": F.when(F.col("value") > 100, "identical to gold"),
         "origin": F.when(F.col("lang") == "signup", "constrained").when(F.col("lang") == "click", "neighbour").otherwise("beam0"),
         "rules": F.when(F.col("value") > 200, 1).when(F.col("value") < 1, -1).otherwise(0),
@@ -37,7 +32,7 @@ def _(spark, sf):
 
 @query("function_outcomes", f"WITH {_RUNS2}, {_PER_FUNCTION} SELECT func_id, status FROM f")
 def _(spark, sf):
-    return evaluate.function_outcomes(_runs(spark, sf))
+    return evaluate.function_outcomes(runs(spark, sf))
 
 
 @query("computational_accuracy", f"""
@@ -45,21 +40,20 @@ WITH {_RUNS2}, {_PER_FUNCTION}
 SELECT count(*) FILTER (WHERE status = 'success') AS success, count(*) AS total_evaluated,
   round(count(*) FILTER (WHERE status = 'success') / greatest(count(*), 1), 9) AS accuracy FROM f""")
 def _(spark, sf):
-    return evaluate.computational_accuracy(_runs(spark, sf)).withColumn("accuracy", F.round("accuracy", 9))
+    return evaluate.computational_accuracy(runs(spark, sf)).withColumn("accuracy", F.round("accuracy", 9))
 
 
 @query("beam_contribution", f"""
-WITH {RUNS}, b AS (SELECT func_id, lang AS beam, status FROM runs)
+WITH {RUNS}, b AS (SELECT * FROM runs)
 SELECT beam, count(*) FILTER (WHERE status = 'success') AS success,
   round(count(*) FILTER (WHERE status = 'success') / (SELECT count(DISTINCT func_id) FROM b), 9) AS accuracy FROM b GROUP BY beam""")
 def _(spark, sf):
-    b = runs(spark, sf).withColumn("beam", F.col("lang"))
-    return evaluate.beam_contribution(b).withColumn("accuracy", F.round("accuracy", 9))
+    return evaluate.beam_contribution(runs(spark, sf)).withColumn("accuracy", F.round("accuracy", 9))
 
 
 @query("first_success", f"WITH {_RUNS2} SELECT func_id, arg_min(code, beam) AS code FROM r WHERE status = 'success' GROUP BY func_id")
 def _(spark, sf):
-    return evaluate.first_success(_runs(spark, sf))
+    return evaluate.first_success(runs(spark, sf))
 
 
 @query("shortest_success", f"""
@@ -69,10 +63,10 @@ def _(spark, sf):
 
 
 @query("success_ratio", f"""
-WITH {RUNS} SELECT func_id, count(*) AS total, round(avg((status = 'success')::INT), 9) AS success_ratio, round(avg((status = 'timeout')::INT), 9) AS timeout_ratio
-FROM runs GROUP BY func_id""")
+WITH {RUNS} SELECT beam, count(*) AS total, round(avg((status = 'success')::INT), 9) AS success_ratio, round(avg((status = 'timeout')::INT), 9) AS timeout_ratio
+FROM runs GROUP BY beam""")
 def _(spark, sf):
-    ratio = evaluate.success_ratio(runs(spark, sf), ["func_id"])
+    ratio = evaluate.success_ratio(runs(spark, sf), ["beam"])
     return ratio.withColumns({c: F.round(c, 9) for c in ("success_ratio", "timeout_ratio")})
 
 
@@ -173,9 +167,9 @@ def _(spark, sf):
 
 
 def _losses(spark, sf):
-    return runs(spark, sf).select(
-        "lang", (F.col("value") / 1000.0).alias("loss"), (F.col("func_id") + 1).alias("words"),
-        F.floor((F.col("func_id") + 1) / 2).alias("valid"),
+    return table(spark, sf, "events").select(
+        F.col("event_type").alias("lang"), (F.col("value") / 1000.0).alias("loss"), (F.col("user_id") + 1).alias("words"),
+        F.floor((F.col("user_id") + 1) / 2).alias("valid"),
     )
 
 

@@ -24,7 +24,7 @@ _PUNCT = r"""
 step1 AS (SELECT {key}, regexp_replace(replace(replace(replace({col}, ' ', ' ▁ '), chr(10), ' STRNEWLINE '), chr(9), ' TABSYMBOL '), ' +', ' ', 'g') AS t FROM {src}),
 step2 AS (SELECT {key}, regexp_replace(regexp_replace(regexp_replace(t, '(\P{{N}})(\p{{P}})', '\1 \2 ', 'g'),
   '(\p{{P}})(\P{{N}})', ' \1 \2', 'g'), '(\p{{S}})', ' \1 ', 'g') AS t FROM step1),
-step3 AS (SELECT {key}, replace(regexp_replace(t, ' +', ' ', 'g'), chr(13), '') AS t FROM step2),
+step3 AS (SELECT {key}, trim(regexp_replace(t, '[\s\x0b\x1c-\x1f\x{{85}}\x{{a0}}\x{{1680}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}]+', ' ', 'g')) AS t FROM step2),
 tokenized AS (SELECT {key}, CASE WHEN regexp_matches(substr(t, 1, 1), '^\p{{L}}$')
   THEN replace(t, substr(t, 1, 1) || ' ', substr(t, 1, 1)) ELSE t END AS t FROM step3)"""
 

@@ -64,7 +64,8 @@ def too_many_identifiers(dictionary) -> Column:
 
 def _argument_tokens(tokens: Column) -> Column:
     """Tokens strictly inside the first balanced pair of parentheses."""
-    tail = F.slice(tokens, F.array_position(tokens, "(").cast("int"), F.size(tokens))
+    opening = F.greatest(F.array_position(tokens, "(").cast("int"), F.lit(1))
+    tail = F.slice(tokens, opening, F.size(tokens))
     start = F.struct(
         F.lit(0).alias("depth"), F.lit(0).alias("seen"), F.lit(0).alias("closed_at")
     )

@@ -42,6 +42,8 @@ def _single_spaces(value: Column) -> Column:
 COMMENT_START = "#"
 PYTHON_PIECES = ["#", "\\n", '"""', "'''"]
 END_COMMENT = "ENDCOM"
+# every kind of white space, not only ASCII
+WHITE_SPACE = r"(?U)[\s\x1c-\x1f]+"
 _HOLD = 0xE000  # private-use characters stand in for protected pieces
 
 
@@ -65,7 +67,7 @@ def tokenize_literal(value, pieces: list[str] | None = None, comment: bool = Fal
     out = F.regexp_replace(out, r"(\P{N})(\p{P})", "$1 $2 ")
     out = F.regexp_replace(out, r"(\p{P})(\P{N})", " $1 $2")
     out = F.regexp_replace(out, r"(\p{S})", " $1 ")
-    out = F.replace(_single_spaces(out), F.lit("\r"), F.lit(""))
+    out = F.trim(F.regexp_replace(out, WHITE_SPACE, " "))
     for piece, mark in held.items():
         out = F.replace(out, F.lit(mark), F.lit(piece))
     first = F.substring(out, 1, 1)

@@ -14,6 +14,7 @@ from ..functions.arrays import EOS, MASK, PAD
 from ..functions.binding import let
 from ..functions.hashing import _col, uniform
 from ..functions.text import format_dictionary, parse_dictionary
+from ..session import hint_if_small
 
 FIRST_ORDINARY = 514  # fixed value: first id of an ordinary word
 
@@ -69,7 +70,7 @@ def mask_weighted(
         F.ceil(F.lit(p) * F.count(F.lit(1)) * F.max(F.size(ids))).alias("__n")
     )
     slots = df.select(batch, row_id, F.posexplode(ids).alias("pos", "id"))
-    known = F.broadcast(weights.filter("weight > 0").select("id", "weight"))  # vocabulary, ≤ 64k rows
+    known = hint_if_small(weights.filter("weight > 0").select("id", "weight"), 16)
     draw = -F.log(1.0 - uniform(seed, row_id, "pos")) / F.col("weight")
     keyed = slots.join(known, "id").withColumn("__key", draw)
     order = Window.partitionBy(batch).orderBy("__key", row_id, "pos")

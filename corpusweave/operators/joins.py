@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import id_from_class_name, words
-from ..session import hint_if_small
+from ..session import hint_if_small, materialize
 
 
 def join_tests(tests: DataFrame, functions: DataFrame, class_column: str = "TARGET_CLASS", func_id: str = "func_id") -> DataFrame:
@@ -40,7 +40,8 @@ def _by_inner_word(tokens: DataFrame, row_id: str, named: DataFrame, snippet_id:
     wanted = hint_if_small(inner.select("__word").distinct())
     frequency = tokens.join(wanted, "__word", "left_semi").groupBy("__word").agg(F.count(F.lit(1)).alias("__df"))
     counted = inner.join(frequency, "__word", "left").withColumn("__df", F.coalesce("__df", F.lit(0)))
-    rarest = counted.groupBy(snippet_id).agg(F.min_by("__word", F.struct("__df", "__word")).alias("__word"))
+    # one small row per snippet, fixed so that the size check does not count words again
+    rarest = materialize(counted.groupBy(snippet_id).agg(F.min_by("__word", F.struct("__df", "__word")).alias("__word")))
     return tokens.join(hint_if_small(rarest), "__word").select(row_id, snippet_id)
 
 
@@ -48,7 +49,7 @@ def _by_part_of_word(tokens: DataFrame, row_id: str, named: DataFrame, snippet_i
     """Candidates for snippets of one or two words: some word of the text must contain the
     snippet's longest word. Matching runs on distinct words, blocked by character pieces."""
     words_of = F.filter("__words", lambda t: t != "")
-    longest = F.element_at(F.array_sort(F.transform(words_of, lambda t: F.struct(F.length(t).alias("n"), t.alias("t")))), -1)["t"]
+    longest = F.try_element_at(F.array_sort(F.transform(words_of, lambda t: F.struct(F.length(t).alias("n"), t.alias("t")))), F.lit(-1))["t"]
     part = named.filter((F.size("__inner") == 0) & (F.size(words_of) > 0)).select(snippet_id, longest.alias("__part"))
     vocabulary = tokens.select("__word").distinct()
     sizes = F.least(F.length("__part"), F.lit(PIECE))

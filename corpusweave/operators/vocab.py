@@ -30,13 +30,37 @@ VOCAB_SIZE = 64_000
 LOOKUP_LIMIT = 1_000_000
 
 
+SMALL_TOP = 1000
+STEPS_PER_E = 20  # histogram resolution: about 5 % in count
+
+
+def _top(counts: DataFrame, n: int) -> DataFrame:
+    """The n most frequent tokens. A large n would send n rows per task into one task, so a
+    histogram over logarithmic count classes (a few hundred rows) finds the class that holds
+    the cut: higher classes pass a filter, only that one class is sorted."""
+    order = [F.desc("count"), F.col("token")]
+    if n <= SMALL_TOP:
+        return counts.orderBy(*order).limit(n)
+    counts = keep(counts)
+    step = F.floor(F.log(F.col("count").cast("double")) * STEPS_PER_E)
+    upto = Window.orderBy(F.desc("step"))
+    cut = (
+        counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("words"))
+        .select("step", "words", F.sum("words").over(upto).alias("upto"))
+        .filter(F.col("upto") > n).orderBy(F.desc("step")).first()
+    )
+    if cut is None:
+        return counts.orderBy(*order)
+    rest = n - (cut["upto"] - cut["words"])
+    edge = counts.filter(step == cut["step"]).orderBy(*order).limit(rest)
+    return counts.filter(step > cut["step"]).unionByName(edge)
+
+
 def count_tokens(df: DataFrame, tokens: Column | str, n: int | None = VOCAB_SIZE) -> DataFrame:
-    """Counts per token, highest first, ties by token. Partial counts are made before the
-    shuffle, so frequent tokens cost one row per task."""
+    """Counts per token; the n most frequent, ties by token. Partial counts are made before
+    the shuffle, so frequent tokens cost one row per task."""
     counts = df.select(F.explode(tokens).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("count"))
-    if n is None:
-        return counts
-    return counts.orderBy(F.desc("count"), "token").limit(n)
+    return counts if n is None else _top(counts, n)
 
 
 def reserved_vocab(spark: SparkSession) -> DataFrame:
@@ -56,7 +80,7 @@ def build_vocab(counts: DataFrame, n: int | None = VOCAB_SIZE) -> DataFrame:
     if n is None:
         numbered = with_row_index(words, order, "rank")
     else:
-        top = words.orderBy(*order).limit(n)
+        top = _top(words, n)  # at most n rows in one sorted partition
         numbered = top.withColumn("rank", F.row_number().over(Window.orderBy(*order)) - 1)
     ordinary = numbered.select("token", (F.col("rank") + FIRST_ORDINARY).cast("int").alias("id"), "count")
     # fixed once: every later use reads this small table, not the corpus
@@ -106,13 +130,14 @@ def _index_arrow(df: DataFrame, row_id: str, tokens: str, rows: list) -> DataFra
 
 def _index_join(df: DataFrame, row_id: str, tokens: str, vocab: DataFrame) -> DataFrame:
     """For vocabularies too large to hold in a task: join on the token, then re-assemble."""
-    exploded = df.select(row_id, F.posexplode_outer(tokens).alias("pos", "token"))
-    looked = exploded.join(vocab.select("token", "id"), "token", "left").withColumn(
-        "id", F.when(F.col("pos").isNotNull(), F.coalesce("id", F.lit(UNK)))
+    exploded = df.select(row_id, F.posexplode_outer(tokens).alias("__pos", "__token"))
+    known = vocab.select(F.col("token").alias("__token"), F.col("id").alias("__id"))
+    looked = exploded.join(known, "__token", "left").withColumn(
+        "__id", F.when(F.col("__pos").isNotNull(), F.coalesce("__id", F.lit(UNK)))
     )
-    item = F.when(F.col("id").isNotNull() & ~_dropped(F.col("id")), F.struct("pos", "id"))
-    grouped = looked.groupBy(row_id).agg(F.array_sort(F.collect_list(item)).alias("items"))
-    ids = F.concat(F.transform("items", lambda s: s["id"].cast("int")), F.array(F.lit(EOS)))
+    item = F.when(F.col("__id").isNotNull() & ~_dropped(F.col("__id")), F.struct("__pos", "__id"))
+    grouped = looked.groupBy(row_id).agg(F.array_sort(F.collect_list(item)).alias("__items"))
+    ids = F.concat(F.transform("__items", lambda s: s["__id"].cast("int")), F.array(F.lit(EOS)))
     return grouped.select(row_id, ids.alias("ids"))
 
 
@@ -130,10 +155,10 @@ def ids_to_text(df: DataFrame, row_id: str, ids: str, vocab: DataFrame) -> DataF
     rows = vocab.select("id", "token").limit(LOOKUP_LIMIT + 1).collect()
     body = df.select(row_id, until_eos(ids).alias("body"))
     if len(rows) > LOOKUP_LIMIT:
-        exploded = body.select(row_id, F.posexplode_outer("body").alias("pos", "id"))
-        named = exploded.join(vocab.select("id", "token"), "id", "left")
-        grouped = named.groupBy(row_id).agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("t"))
-        return grouped.select(row_id, F.array_join(F.transform("t", lambda s: s["token"]), " ").alias("text"))
+        exploded = body.select(row_id, F.posexplode_outer("body").alias("__pos", "__id"))
+        named = exploded.join(vocab.select(F.col("id").alias("__id"), F.col("token").alias("__token")), "__id", "left")
+        grouped = named.groupBy(row_id).agg(F.array_sort(F.collect_list(F.struct("__pos", "__token"))).alias("__t"))
+        return grouped.select(row_id, F.array_join(F.transform("__t", lambda s: s["__token"]), " ").alias("text"))
     table = df.sparkSession.sparkContext.broadcast(([r["id"] for r in rows], [r["token"] for r in rows]))
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

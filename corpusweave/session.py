@@ -60,6 +60,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(checkpoint_root(spark), f"{name}-{uuid.uuid4().hex}")
 
 
+def land(df: DataFrame, name: str) -> DataFrame:
+    """Write an intermediate table to the shared folder and read it back: later passes read
+    columns of a file instead of repeating the work."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def shuffle_width(df: DataFrame) -> int:
     """Number of range partitions used for global orderings."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -9,7 +9,7 @@ from ..functions.code import usable_test
 from ..functions.text import split_id_line, words
 from ..operators.vocab import FIRST_ORDINARY, LINE_SEPARATOR, RESERVED
 from ..operators.ordering import with_row_index
-from ..session import scratch_path
+from ..session import land
 
 CODE_SCHEMA = "repo_name string, content string, _corrupt string"
 UNIT_TEST_SCHEMA = "TARGET_CLASS string, tests_strings string, scaffoldings_strings string, mutation_score double, asserts int, python_translated_tests string, _corrupt string"
@@ -28,9 +28,7 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
         F.col("_metadata.file_block_start").alias("__block"),
         F.monotonically_increasing_id().alias("__at"),
     )
-    folder = scratch_path(spark, "lines")
-    raw.write.parquet(folder)
-    fixed = spark.read.parquet(folder)
+    fixed = land(raw, "lines")
     blocks = fixed.groupBy("path", "__block").agg(F.min("__at").alias("__first"), F.count(F.lit(1)).alias("__n"))
     earlier = Window.partitionBy("path").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
     starts = blocks.select("path", "__block", "__first", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__start"))
