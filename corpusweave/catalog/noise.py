@@ -42,7 +42,7 @@ WITH {_T}, c AS (SELECT x, count(*) AS count FROM t GROUP BY x), wt AS (SELECT x
 z AS (SELECT doc_id, (sum(len(ids)) OVER (ORDER BY len(ids), doc_id ROWS UNBOUNDED PRECEDING) // 20000) AS batch, len(ids) AS n FROM w),
 s AS (SELECT batch, ceil(0.15 * count(*) * max(n)) AS k FROM z GROUP BY batch),
 q AS (SELECT batch, doc_id, i, x, row_number() OVER (PARTITION BY batch ORDER BY round(-ln(1 - {_u('3', 'doc_id', 'i')}) / weight, 9), doc_id, i) AS rn FROM t JOIN wt USING (x) JOIN z USING (doc_id))
-SELECT batch::BIGINT AS batch, doc_id, i AS pos, x AS id FROM q JOIN s USING (batch) WHERE rn <= k AND i > 0""")
+SELECT batch::BIGINT AS batch, doc_id, i AS pos, x AS token_id FROM q JOIN s USING (batch) WHERE rn <= k AND i > 0""")
 def _(spark, sf):
     d = _wrapped(spark, sf)
     counts = d.select(F.explode("ids").alias("id")).groupBy("id").count()

@@ -63,21 +63,20 @@ def mask_eval(ids, row_id: str, p: float, seed: int = 0) -> Column:
 def mask_weighted(
     df: DataFrame, weights: DataFrame, batch: str, row_id: str, ids: str, p: float, seed: int = 0
 ) -> DataFrame:
-    """(batch, row, pos, id) picked per batch: `ceil(p · rows · longest)` draws without
+    """(batch, row, pos, token_id) picked per batch: `ceil(p · rows · longest)` draws without
     replacement, weight per id. Smallest exponential keys are such a draw. A batch is
     bounded by its token budget. Picks at the first position do not count."""
     sizes = df.groupBy(batch).agg(
         F.ceil(F.lit(p) * F.count(F.lit(1)) * F.max(F.size(ids))).alias("__n")
     )
-    slots = df.select(batch, row_id, F.posexplode(ids).alias("pos", "id"))
-    known = hint_if_small(weights.filter("weight > 0").select("id", "weight"), 16)
+    slots = df.select(batch, row_id, F.posexplode(ids).alias("pos", "__id"))
+    known = hint_if_small(weights.filter("weight > 0").select(F.col("id").alias("__id"), "weight"), 16)
     draw = -F.log(1.0 - uniform(seed, row_id, "pos")) / F.col("weight")
-    keyed = slots.join(known, "id").withColumn("__key", draw)
+    keyed = slots.join(known, "__id").withColumn("__key", draw)
     order = Window.partitionBy(batch).orderBy("__key", row_id, "pos")
     ranked = keyed.withColumn("__rank", F.row_number().over(order)).join(sizes, batch)
-    return ranked.filter((F.col("__rank") <= F.col("__n")) & (F.col("pos") > 0) & (F.col("id") != PAD)).select(
-        batch, row_id, "pos", "id"
-    )
+    kept = (F.col("__rank") <= F.col("__n")) & (F.col("pos") > 0) & (F.col("__id") != PAD)
+    return ranked.filter(kept).select(batch, row_id, "pos", F.col("__id").alias("token_id"))
 
 
 def _body(array: Column) -> Column:
