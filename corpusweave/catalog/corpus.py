@@ -243,6 +243,14 @@ def _(spark, sf):
     return filters.multi_assert(t, "test")
 
 
+@query("removed_share", """
+SELECT count(*) AS before, count(*) FILTER (WHERE n_chars > 1000) AS after, round(1 - count(*) FILTER (WHERE n_chars > 1000) / count(*), 9) AS removed_share FROM documents""")
+def _(spark, sf):
+    d = docs(spark, sf)
+    share = filters.removed_share(d, d.filter("n_chars > 1000"))
+    return share.withColumn("removed_share", F.round("removed_share", 9))
+
+
 @query("filter_lengths", f"""
 WITH {PAIRS} SELECT pair_id FROM pairs WHERE len({sql_words('source')}) BETWEEN 1 AND 60 AND len({sql_words('target')}) BETWEEN 1 AND 60""")
 def _(spark, sf):

@@ -85,6 +85,13 @@ def _(spark, sf):
     return docs(spark, sf).select("doc_id", text.repair_identifiers(broken).alias("content"))
 
 
+@query("repair_spaced_identifiers", """
+SELECT doc_id, 'x Ġ CLASS_' || doc_id || ' Ġ VAR_' || doc_id || n_chars || ' y FUNC_7 ' || text AS content FROM documents""")
+def _(spark, sf):
+    broken = F.concat(F.lit("x ĠCLASS _ "), "doc_id", F.lit(" ĠV AR _ "), "doc_id", F.lit(" "), "n_chars", F.lit(" y FUN C _ 7 "), "text")
+    return docs(spark, sf).select("doc_id", text.repair_spaced_identifiers(broken).alias("content"))
+
+
 @query("content_id", """
 SELECT doc_id, sha256(text) AS content_id, 'CLASS_' || sha256(text) AS class_name,
        sha256(text) AS id_back FROM documents""")

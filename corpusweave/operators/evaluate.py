@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.binding import let
 from ..functions.text import subtokens
 from .ordering import with_running
 
@@ -94,61 +95,81 @@ def error_table(functions: DataFrame, runs: DataFrame, func_id: str = "func_id",
 # --- identifier subtokens ---------------------------------------------------------------
 
 
-def _entries(df: DataFrame, line_id: str, text: str, extra: list[str], value: str) -> DataFrame:
-    """`key name | key name` lines to rows; entries without a name are ignored."""
-    entry = df.select(line_id, *extra, F.posexplode(F.split(text, r"\|")).alias("__pos", "__e"))
-    parts = F.split(F.trim("__e"), " ")
-    named = entry.withColumn("__p", parts).filter(F.size("__p") >= 2)
-    # a repeated key keeps its last name
-    return named.groupBy(line_id, *extra, F.get("__p", F.lit(0)).alias("key")).agg(
-        F.max_by(F.get("__p", F.lit(1)), "__pos").alias(value)
+REFERENCE = -1  # stands for the beam number of reference entries
+
+
+def _names(ref: DataFrame, hyp: DataFrame, line_id: str, ref_text: str, hyp_text: str, beam: Column) -> DataFrame:
+    """One row per reference identifier: its name and (beam, name) of the candidates.
+
+    `key name | key name` lines are shuffled once by line and taken apart in place. Entries
+    without a name and keys unknown to the reference are ignored; a repeated key keeps its
+    last name. A group holds one entry per beam."""
+    sides = ref.select(line_id, F.lit(REFERENCE).alias("beam"), F.col(ref_text).alias("__t")).unionByName(
+        hyp.select(line_id, beam.cast("int").alias("beam"), F.col(hyp_text).alias("__t"))
+    )
+    entry = sides.repartition(line_id).select(line_id, "beam", F.posexplode(F.split("__t", r"\|")).alias("pos", "__e"))
+    parts = entry.withColumn("__p", F.split(F.trim("__e"), " ")).filter(F.size("__p") >= 2)
+    named = parts.select(line_id, "beam", "pos", F.get("__p", F.lit(0)).alias("key"), F.get("__p", F.lit(1)).alias("name"))
+    grouped = named.groupBy(line_id, "key").agg(F.array_sort(F.collect_list(F.struct("beam", "pos", "name"))).alias("__all"))
+
+    def last_per_beam(every: Column) -> Column:
+        following = lambda i: F.get(every, i + 1)["beam"]
+        return F.filter(every, lambda x, i: following(i).isNull() | (following(i) != x["beam"]))
+
+    kept = grouped.withColumn("__all", let(F.col("__all"), last_per_beam))
+    known = kept.filter(F.get("__all", F.lit(0))["beam"] == REFERENCE)
+    return known.select(
+        line_id, "key", F.get("__all", F.lit(0))["name"].alias("name"),
+        F.slice("__all", F.lit(2), F.size("__all")).alias("hyps"),
     )
 
 
-def _overlap(ref: DataFrame, hyp: DataFrame, line_id: str, ref_text: str, hyp_text: str, beam: list[str]) -> DataFrame:
-    """Reference identifiers left-joined with hypothesis names; set sizes per candidate."""
-    left = _entries(ref, line_id, ref_text, [], "ref_name")
-    right = _entries(hyp, line_id, hyp_text, beam, "hyp_name")
-    joined = left.join(right, [line_id, "key"], "left")
-    proposed = F.when(F.col("hyp_name").isNotNull(), subtokens("hyp_name")).otherwise(F.array().cast("array<string>"))
-    sets = joined.withColumns({"__r": subtokens("ref_name"), "__h": proposed})
-    return sets.withColumns(
-        {
-            "hit": F.size(F.array_intersect("__r", "__h")),
-            "proposed": F.size("__h"),
-            "expected": F.size("__r"),
-        }
-    ).drop("__r", "__h")
+def _sizes(expected: Column, proposed: Column) -> Column:
+    return F.struct(
+        F.size(F.array_intersect(expected, proposed)).alias("hit"), F.size(proposed).alias("proposed"), F.size(expected).alias("expected")
+    )
 
 
 def _f1(precision: Column, recall: Column) -> Column:
     return F.when(precision + recall > 0, 2 * precision * recall / (precision + recall)).otherwise(F.lit(0.0))
 
 
+def _rates(sizes: Column) -> Column:
+    """struct(f, p, r) of struct(hit, proposed, expected)."""
+    rates = F.struct(_ratio(sizes["hit"], sizes["proposed"]).alias("p"), _ratio(sizes["hit"], sizes["expected"]).alias("r"))
+    return let(rates, lambda x: F.struct(_f1(x["p"], x["r"]).alias("f"), x["p"].alias("p"), x["r"].alias("r")))
+
+
 def subtoken_macro(ref: DataFrame, hyp: DataFrame, line_id: str, ref_text: str, hyp_text: str, beam: str) -> DataFrame:
     """Mean over identifiers of the candidate with the best F1 (the first one on ties)."""
-    parts = _overlap(ref, hyp, line_id, ref_text, hyp_text, [beam])
-    scored = parts.withColumns({"p": _ratio(F.col("hit"), F.col("proposed")), "r": _ratio(F.col("hit"), F.col("expected"))})
-    scored = scored.withColumn("f", _f1(F.col("p"), F.col("r")))
-    exact = F.coalesce(F.col("hyp_name") == F.col("ref_name"), F.lit(False))
-    best = scored.groupBy(line_id, "key").agg(
-        F.max_by(F.struct("p", "r", "f"), F.struct(F.col("f"), -F.coalesce(F.col(beam), F.lit(0)))).alias("b"),
-        F.max(exact.cast("double")).alias("exact"),
+    names = _names(ref, hyp, line_id, ref_text, hyp_text, F.col(beam))
+    scores = let(
+        subtokens("name"),
+        lambda expected: F.transform(
+            "hyps",
+            lambda h: let(_rates(let(subtokens(h["name"]), lambda s: _sizes(expected, s))), lambda x: F.struct(x["f"], (-h["beam"]).alias("b"), x["p"], x["r"])),
+        ),
+    )
+    best = names.select(
+        F.array_max(scores).alias("s"), F.exists("hyps", lambda h: h["name"] == F.col("name")).cast("double").alias("exact")
     )
-    mean = lambda c: F.coalesce(F.avg(c), F.lit(0.0))
+    mean = lambda c: F.coalesce(F.avg(F.coalesce(c, F.lit(0.0))), F.lit(0.0))
     return best.agg(
-        mean("b.p").alias("precision"), mean("b.r").alias("recall"), mean("b.f").alias("f1"), mean("exact").alias("exact_match")
+        mean(F.col("s.p")).alias("precision"), mean(F.col("s.r")).alias("recall"),
+        mean(F.col("s.f")).alias("f1"), mean(F.col("exact")).alias("exact_match"),
     )
 
 
 def subtoken_micro(ref: DataFrame, hyp: DataFrame, line_id: str, ref_text: str, hyp_text: str) -> DataFrame:
     """Sums of the set sizes first, then precision, recall and F1."""
-    totals = _overlap(ref, hyp, line_id, ref_text, hyp_text, []).agg(
-        F.sum("hit").alias("h"), F.sum("proposed").alias("p"), F.sum("expected").alias("e")
+    names = _names(ref, hyp, line_id, ref_text, hyp_text, F.lit(0))
+    proposed = F.coalesce(subtokens(F.get("hyps", F.lit(0))["name"]), F.array().cast("array<string>"))
+    totals = names.select(_sizes(subtokens("name"), proposed).alias("s")).agg(
+        F.sum("s.hit").alias("hit"), F.sum("s.proposed").alias("proposed"), F.sum("s.expected").alias("expected")
     )
     rates = totals.select(
-        F.coalesce(_ratio(F.col("h"), F.col("p")), F.lit(0.0)).alias("precision"),
-        F.coalesce(_ratio(F.col("h"), F.col("e")), F.lit(0.0)).alias("recall"),
+        F.coalesce(_ratio(F.col("hit"), F.col("proposed")), F.lit(0.0)).alias("precision"),
+        F.coalesce(_ratio(F.col("hit"), F.col("expected")), F.lit(0.0)).alias("recall"),
     )
     return rates.withColumn("f1", _f1(F.col("precision"), F.col("recall")))
 

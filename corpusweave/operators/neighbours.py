@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import fits_broadcast
+from ..session import fits_broadcast, hint_if_small, materialize
 
 BLOCK_ROWS = 50_000  # store rows that meet one block of queries in one task
 BLOCK_QUERIES = 50_000
@@ -94,26 +94,27 @@ def blocked_search(
 
     Both sides are hashed into blocks of bounded size; a (cell, store block, query block)
     triple is one task's work, so a cell with a third of all rows is split like any other."""
-    q = queries if cell else queries.withColumn("__cell", F.lit(0))
-    s = store if cell else store.withColumn("__cell", F.lit(0))
-    cell = cell or "__cell"
-    sizes = (
-        s.groupBy(cell).agg(F.count(F.lit(1)).alias("__rows"))
-        .join(q.groupBy(cell).agg(F.count(F.lit(1)).alias("__queries")), cell)
-        .select(
-            cell,
-            F.ceil(F.col("__rows") / BLOCK_ROWS).cast("int").alias("__sb"),
-            F.ceil(F.col("__queries") / BLOCK_QUERIES).cast("int").alias("__qb"),
+    blocks = lambda n, size: F.ceil(n / size).cast("int")
+    if cell is None:
+        counts = store.count(), queries.count()
+        planned = {"cell": F.lit(0), "__sb": blocks(F.lit(counts[0]), BLOCK_ROWS), "__qb": blocks(F.lit(counts[1]), BLOCK_QUERIES)}
+        s, q = store.withColumns(planned), queries.withColumns(planned)
+    else:
+        sizes = (
+            store.groupBy(cell).agg(F.count(F.lit(1)).alias("__rows"))
+            .join(queries.groupBy(cell).agg(F.count(F.lit(1)).alias("__queries")), cell)
+            .select(
+                F.col(cell).alias("cell"),
+                blocks(F.col("__rows"), BLOCK_ROWS).alias("__sb"), blocks(F.col("__queries"), BLOCK_QUERIES).alias("__qb"),
+            )
         )
-    )
+        sizes = hint_if_small(materialize(sizes))  # one row per cell
+        s = store.withColumnRenamed(cell, "cell").join(sizes, "cell")
+        q = queries.withColumnRenamed(cell, "cell").join(sizes, "cell")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     own = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
-    left = s.join(F.broadcast(sizes), cell).select(  # one row per cell, at most the list count
-        F.col(cell).alias("cell"), own("row_id", "__sb").alias("sb"), every("__qb").alias("qb"), "row_id", F.col(payload).alias("payload")
-    )
-    right = q.join(F.broadcast(sizes), cell).select(
-        F.col(cell).alias("cell"), own("query_id", "__qb").alias("qb"), every("__sb").alias("sb"), "query_id", "vector"
-    )
+    left = s.select("cell", own("row_id", "__sb").alias("sb"), every("__qb").alias("qb"), "row_id", F.col(payload).alias("payload"))
+    right = q.select("cell", own("query_id", "__qb").alias("qb"), every("__sb").alias("sb"), "query_id", "vector")
     keys = ["cell", "sb", "qb"]
 
     def search(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
