@@ -170,10 +170,14 @@ def format_dictionary(mapping) -> Column:
 
 def subtokens(value) -> Column:
     """Distinct snake-case parts of an identifier."""
-    plain = F.regexp_replace(_col(value), r"[\-.\s]", "_")
-    rest = F.regexp_replace(F.substring(plain, F.lit(2), F.length(plain)), "([A-Z])", "_$1")
-    snake = F.concat(F.lower(F.substring(plain, 1, 1)), F.translate(rest, UPPER, LOWER))
-    return F.array_distinct(F.filter(F.split(snake, "_"), lambda t: t != ""))
+    marks = "-. \t\n\x0b\f\r"
+
+    def snake(plain: Column) -> Column:
+        rest = F.regexp_replace(F.substring(plain, F.lit(2), F.length(plain)), "([A-Z])", "_$1")
+        return F.concat(F.lower(F.substring(plain, 1, 1)), F.translate(rest, UPPER, LOWER))
+
+    plain = F.translate(_col(value), marks, "_" * len(marks))
+    return F.array_remove(F.array_distinct(F.split(snake(plain), "_")), "")
 
 
 def split_id_line(value, mode: str = "rest") -> Column:

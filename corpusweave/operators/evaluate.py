@@ -125,9 +125,11 @@ def _names(ref: DataFrame, hyp: DataFrame, line_id: str, ref_text: str, hyp_text
 
 
 def _sizes(expected: Column, proposed: Column) -> Column:
-    return F.struct(
-        F.size(F.array_intersect(expected, proposed)).alias("hit"), F.size(proposed).alias("proposed"), F.size(expected).alias("expected")
-    )
+    def of(sets: Column) -> Column:
+        e, p = sets["e"], sets["p"]
+        return F.struct(F.size(F.array_intersect(e, p)).alias("hit"), F.size(p).alias("proposed"), F.size(e).alias("expected"))
+
+    return let(F.struct(expected.alias("e"), proposed.alias("p")), of)
 
 
 def _f1(precision: Column, recall: Column) -> Column:
@@ -136,7 +138,9 @@ def _f1(precision: Column, recall: Column) -> Column:
 
 def _rates(sizes: Column) -> Column:
     """struct(f, p, r) of struct(hit, proposed, expected)."""
-    rates = F.struct(_ratio(sizes["hit"], sizes["proposed"]).alias("p"), _ratio(sizes["hit"], sizes["expected"]).alias("r"))
+    rates = let(
+        sizes, lambda z: F.struct(_ratio(z["hit"], z["proposed"]).alias("p"), _ratio(z["hit"], z["expected"]).alias("r"))
+    )
     return let(rates, lambda x: F.struct(_f1(x["p"], x["r"]).alias("f"), x["p"].alias("p"), x["r"].alias("r")))
 
 
@@ -147,7 +151,7 @@ def subtoken_macro(ref: DataFrame, hyp: DataFrame, line_id: str, ref_text: str,
         subtokens("name"),
         lambda expected: F.transform(
             "hyps",
-            lambda h: let(_rates(let(subtokens(h["name"]), lambda s: _sizes(expected, s))), lambda x: F.struct(x["f"], (-h["beam"]).alias("b"), x["p"], x["r"])),
+            lambda h: let(_rates(_sizes(expected, subtokens(h["name"]))), lambda x: F.struct(x["f"], (-h["beam"]).alias("b"), x["p"], x["r"])),
         ),
     )
     best = names.select(
