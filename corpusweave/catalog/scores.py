@@ -19,7 +19,7 @@ SELECT count(*) FILTER (WHERE status = 'success') AS success, count(*) FILTER (W
   count(*) FILTER (WHERE status = 'error') AS error, count(*) FILTER (WHERE status = 'timeout') AS timeout,
   count(*) FILTER (WHERE status = 'compile_error') AS compile_error, count(*) FILTER (WHERE status = 'script_not_found') AS script_not_found,
   count(*) FILTER (WHERE gold) AS identical_gold, count(*) FILTER (WHERE rules = 1) AS fixed_rules, count(*) FILTER (WHERE rules = -1) AS corrupted_rules,
-  count(*) FILTER (WHERE origin = 'signup') AS fixed_constrained, count(*) FILTER (WHERE origin = 'click') AS fixed_knnmt,
+  count(*) FILTER (WHERE origin = 'signup') AS fixed_constrained, count(*) FILTER (WHERE origin = 'click') AS fixed_neighbour,
   count(*) AS total, count(*) - count(*) FILTER (WHERE status = 'script_not_found') AS total_evaluated FROM f""")
 def _(spark, sf):
     r = runs(spark, sf).withColumns({

@@ -48,7 +48,7 @@ def outcome_stats(
         F.count_if(F.col("__rules") == 1).alias("fixed_rules"),
         F.count_if(F.col("__rules") == -1).alias("corrupted_rules"),
         F.count_if(F.col("__origin") == "constrained").alias("fixed_constrained"),
-        F.count_if(F.col("__origin") == "neighbour").alias("fixed_knnmt"),
+        F.count_if(F.col("__origin") == "neighbour").alias("fixed_neighbour"),
         total.alias("total"),
         (total - is_("script_not_found")).alias("total_evaluated"),
     )
