@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 from ..session import spread
 from .exact_dedup import exact_duplicates
 from .mixing import mix_sources
+from .packing import pack_documents
 from .sharding import shard_by_bytes
+from .token_counts import count_tokens
+from .token_files import read_token_files, write_token_files
 from .warc import read_captures, write_archives
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,6 +34,21 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
+@_query("op2_pack_documents")
+def _(spark, sf_dir):
+    return pack_documents(_table(spark, sf_dir, "documents"))
+
+
+@_query("op4_count_tokens")
+def _(spark, sf_dir):
+    return count_tokens(_table(spark, sf_dir, "documents"))
+
+
+@_query("op5_token_files")
+def _(spark, sf_dir):
+    return read_token_files(spark, write_token_files(_table(spark, sf_dir, "documents")))
+
+
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 _MIX = r"""
