@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from ..session import spread
 from .exact_dedup import exact_duplicates
+from .jaccard import similar_documents
 from .mixing import mix_sources
 from .packing import pack_documents
+from .quality import score_quality, train_quality
 from .sharding import shard_by_bytes
 from .token_counts import count_tokens
 from .token_files import read_token_files, write_token_files
@@ -34,6 +36,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
+@_query("op1_quality_rules")
+def _(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    return score_quality(docs, train_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 @_query("op2_pack_documents")
 def _(spark, sf_dir):
     return pack_documents(_table(spark, sf_dir, "documents"))
@@ -49,6 +57,11 @@ def _(spark, sf_dir):
     return read_token_files(spark, write_token_files(_table(spark, sf_dir, "documents")))
 
 
+@_query("op7_ngram_jaccard")
+def _(spark, sf_dir):
+    return similar_documents(_table(spark, sf_dir, "documents"))
+
+
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 _MIX = r"""
