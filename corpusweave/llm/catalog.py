@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..session import spread
 from .exact_dedup import exact_duplicates
 from .jaccard import similar_documents
+from .language_model import score_texts
 from .mixing import mix_sources
 from .packing import pack_documents
 from .quality import score_quality, train_quality
@@ -62,6 +63,11 @@ def _(spark, sf_dir):
     return similar_documents(_table(spark, sf_dir, "documents"))
 
 
+@_query("op6_lm_scores")
+def _(spark, sf_dir):
+    return score_texts(_table(spark, sf_dir, "documents"))
+
+
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 _MIX = r"""
