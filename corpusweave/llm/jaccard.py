@@ -6,14 +6,15 @@ bit counts; what passes is decided by exact intersection of sorted arrays.
 
 A link needs a common shingle among the first n - ceil(t n) + 1 of both sets in any fixed order.
 The order here puts frequent shingles last, so a passage that many documents share brings no
-tile together. Equal sets are one class throughout. In tiles of more than a few sets, sets next to each
-other in size are tried first; then every pair whose sets do not hang together yet is tried,
-so no component is missed and no pair inside one is needed."""
+tile together. Equal sets are one class throughout. What passes the bit bound in a tile hangs
+together in heaps, each set in one. A heap is dealt out in sides of bounded size, twice, and each
+side joins what it can by exact comparison. What then does not belong to a heap's largest
+component, commonly little, is shown to every side. So no component is missed, and no pair
+inside one is needed."""
 
 from __future__ import annotations
 
 import hashlib
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,9 +37,11 @@ FREQUENT = 8
 MOST_FREQUENT = 1 << 16
 #: A tile up to this size is tried pair by pair at once.
 SMALL_TILE = 8
-#: Rows of one side of a tile, and rows that a scan of tiles holds before it goes on piecewise.
-TILE = 1024
+#: Sets of one side of a tile or heap, and rows that a scan of tiles holds before it goes on piecewise.
+SIDE = 1024
 HELD = 4096
+#: Bits of a bitmap per shingle, at least: more tell sets apart more sharply.
+DENSITY = 2
 _LOCAL_BITS = 33
 
 
@@ -90,14 +93,14 @@ def frequent_shingles(rows: DataFrame, size: int) -> np.ndarray:
         cut = found
     if cut is None:
         return np.zeros(0, np.uint64)
-    chosen = counts.filter(F.col("class") >= cut).select("shingle", "n").toPandas()
+    chosen = counts.filter(F.col("class") >= cut).select("shingle", "n").toArrow()
     order = np.lexsort((chosen["shingle"].to_numpy(), chosen["n"].to_numpy()))
     return chosen["shingle"].to_numpy()[order].view(np.uint64)
 
 
 def _bitmap(own: np.ndarray) -> bytes:
-    """One bit per shingle in as many bits as the size band has: a power of two from n on."""
-    bits = max(64, 1 << (len(own) - 1).bit_length())
+    """One bit per shingle in as many bits as the size band has: a power of two."""
+    bits = max(64, DENSITY << (len(own) - 1).bit_length())
     flags = np.zeros(bits, bool)
     flags[(own & np.uint64(bits - 1)).astype(np.int64)] = True
     return np.packbits(flags).tobytes()
@@ -143,8 +146,8 @@ TILES = "kind int, a bigint, b bigint"
 
 
 def _pairs_and_tiles(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """From rows (g, n, row) sorted by g and n: candidate pairs (kind 0) of neighbours, and of
-    all in small tiles; the members (kind 1: shingle, row) of larger tiles."""
+    """From rows (g, n, row) sorted by g and n: all pairs of small tiles (kind 0), and the
+    members (kind 1: shingle, row) of larger ones."""
     carry = [np.zeros(0, np.int64)] * 3
     large = None  # the shingle of a tile whose first rows were already passed on
 
@@ -168,15 +171,14 @@ def _pairs_and_tiles(batches: Iterator[pa.RecordBatch], percent: int) -> Iterato
             size = np.where(done_g == done_g[-1], HELD, size)
         a, b = [], []
         for step in range(1, SMALL_TILE):
-            same = done_g[step:] == done_g[:-step]
-            ok = same & (100 * done_n[:-step] >= percent * done_n[step:])
-            if step > 1:
-                ok &= size[step:] <= SMALL_TILE
-            at = np.flatnonzero(ok)
+            near = (done_g[step:] == done_g[:-step]) & (size[step:] <= SMALL_TILE)
+            at = np.flatnonzero(near & (100 * done_n[:-step] >= percent * done_n[step:]))
             a.append(np.minimum(done_row[at], done_row[at + step]))
             b.append(np.maximum(done_row[at], done_row[at + step]))
         pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)]), axis=1)
         member = np.flatnonzero(size > SMALL_TILE)
+        if keep < cut:  # the last row has been counted in, and goes on only as neighbour
+            member = member[member < keep]
         large = done_g[-1] if going_on else None
         carry = [x[keep:] for x in (g, n, row)]
         kinds = np.concatenate([np.zeros(pairs.shape[1], np.int32), np.ones(len(member), np.int32)])
@@ -215,48 +217,69 @@ def _filter_bitmaps(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _compare_tiles(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by tile (g, i, j): pairs of different components that pass the bit bound.
-    A tile has at most two sides of about TILE rows."""
+def _common(x: np.ndarray, y: np.ndarray) -> int:
+    both = np.sort(np.concatenate([x, y]), kind="stable")
+    return int((both[1:] == both[:-1]).sum())
+
+
+def _join_side(rows: list[dict], percent: int, exact: bool) -> pa.RecordBatch:
+    """Pairs that join the components of one side, whose rows are sorted by size. A set meets the
+    earlier ones of other components, the most promising by bit counts first; joined ones are
+    not tried again. With `exact`, a pair must also be a link by its sorted arrays."""
+    label = np.array([r["component"] for r in rows], np.int64)
+    if exact:
+        sets = [np.frombuffer(r["data"], np.uint64) for r in rows]
+        maps = [np.frombuffer(_bitmap(x), np.uint8) for x in sets]
+    else:
+        maps = [np.frombuffer(r["data"], np.uint8) for r in rows]
+    n = np.array([r["n"] for r in rows], np.int64)
+    length = np.array([len(m) for m in maps])
+    stacks = {b: np.stack([maps[k] for k in np.flatnonzero(length == b)]) for b in np.unique(length)}
+    begin = {b: int(np.flatnonzero(length == b)[0]) for b in stacks}  # bands follow the order of sizes
+    out = []
+    for k, own in enumerate(maps):
+        low = int(np.searchsorted(100 * n, percent * n[k]))
+        near, bound = [], []
+        for band in (len(own), len(own) // 2):
+            if band not in stacks:
+                continue
+            lo, hi = max(low, begin[band]), min(k, begin[band] + len(stacks[band]))
+            if lo >= hi:
+                continue
+            at = np.arange(lo, hi)[label[lo:hi] != label[k]]
+            differ = np.bitwise_count(stacks[band][at - begin[band]] ^ _fold(own, band)).sum(1, dtype=np.int64)
+            sizes = n[at] + n[k]
+            fits = _fits((sizes - differ) // 2, sizes, percent)
+            near.append(at[fits])
+            bound.append(differ[fits] / sizes[fits])
+        if not near:
+            continue
+        near = np.concatenate(near)[np.argsort(np.concatenate(bound), kind="stable")]
+        for m in near:
+            if label[m] != label[k] and (not exact or _fits(np.int64(_common(sets[k], sets[m])), n[k] + n[m], percent)):
+                out.append((rows[k]["row"], rows[m]["row"]))
+                label[label == label[m]] = label[k]
+    found = np.sort(np.array(out, np.int64).reshape(-1, 2), axis=1)
+    return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
+
+
+def _join_sides(batches: Iterator[pa.RecordBatch], percent: int, exact: bool) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (tile, i, j, n): each side, or pair of sides, in turn."""
     held: list[dict] = []
-
-    def compare(rows):
-        out = []
-        by_length: dict[int, list[int]] = {}
-        n, comp, row, side = (np.array([r[c] for r in rows], np.int64) for c in ("n", "component", "row", "side"))
-        for k, r in enumerate(rows):
-            by_length.setdefault(len(r["bitmap"]), []).append(k)
-        maps = {length: np.stack([np.frombuffer(rows[k]["bitmap"], np.uint8) for k in at]) for length, at in by_length.items()}
-        one_side = rows[0]["i"] == rows[0]["j"]
-        for length, at in by_length.items():
-            at = np.array(at)
-            for other in (length, 2 * length):
-                if other not in by_length:
-                    continue
-                far = np.array(by_length[other])
-                folded = _fold(maps[other], length)
-                for k, own in zip(at, maps[length], strict=True):
-                    ok = (comp[far] != comp[k]) & (100 * np.minimum(n[far], n[k]) >= percent * np.maximum(n[far], n[k]))
-                    ok &= (far > k) if other == length else True
-                    ok &= True if one_side else side[far] != side[k]
-                    near = np.flatnonzero(ok)
-                    if not len(near):
-                        continue
-                    differ = np.bitwise_count(folded[near] ^ own).sum(1, dtype=np.int64)
-                    sizes = n[far[near]] + n[k]
-                    for m in far[near[_fits((sizes - differ) // 2, sizes, percent)]]:
-                        out.append((min(row[k], row[m]), max(row[k], row[m])))
-        found = np.array(out, np.int64).reshape(-1, 2)
-        return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
-
     for batch in batches:
         for r in batch.to_pylist():
-            if held and (r["g"], r["i"], r["j"]) != (held[0]["g"], held[0]["i"], held[0]["j"]):
-                yield compare(held)
+            if held and any(r[c] != held[0][c] for c in ("tile", "i", "j")):
+                yield _join_side(held, percent, exact)
                 held = []
             held.append(r)
     if held:
-        yield compare(held)
+        yield _join_side(held, percent, exact)
+
+
+def _dealt(rows: DataFrame, percent: int, exact: bool) -> DataFrame:
+    """Pairs (a, b) from rows (tile, i, j, n, row, component, data), each side in one task."""
+    dealt = rows.select("tile", "i", "j", "n", "row", "component", "data").repartition("tile", "i", "j")
+    return dealt.sortWithinPartitions("tile", "i", "j", "n", "row").mapInArrow(lambda it: _join_sides(it, percent, exact), "a bigint, b bigint")
 
 
 def _arrays(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
@@ -266,29 +289,51 @@ def _arrays(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordB
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(sets, pa.binary())], ["class", "shingles"])
 
 
-def _intersect(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keep = []
-        for x, y in zip(batch.column("left").to_pylist(), batch.column("right").to_pylist(), strict=True):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            both = np.sort(np.concatenate([x, y]), kind="stable")
-            common = int((both[1:] == both[:-1]).sum())
-            keep.append(bool(_fits(np.int64(common), np.int64(len(x) + len(y)), percent)))
-        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-
-def _verify(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """Of the pairs (a, b), those that are links, by the exact sets of their texts."""
-    wanted = materialize(pairs.select(F.col("a").alias("row")).unionByName(pairs.select(F.col("b").alias("row"))).distinct().join(nodes.select("row", "doc_id", "class"), "row"))
+def _arrays_of(wanted: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+    """row, data (sorted shingles) of the wanted (row, doc_id, class), from their whole texts."""
     ids = land(wanted.select("doc_id").distinct(), "jaccard-wanted")
     found = lookup(texts, ids, ["doc_id"], "left_semi").select("text").mapInArrow(lambda it: _arrays(it, size), "class binary, shingles binary")
     # a repeated id may bring other texts along, and copies bring the same set again
-    arrays = found.join(wanted.select("class", "row"), "class").groupBy("row").agg(F.min("shingles").alias("shingles"))
-    arrays = land(arrays, "jaccard-arrays")
-    left = arrays.select(F.col("row").alias("a"), F.col("shingles").alias("left"))
-    right = arrays.select(F.col("row").alias("b"), F.col("shingles").alias("right"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right")
-    return both.mapInArrow(lambda it: _intersect(it, percent), "a bigint, b bigint")
+    arrays = found.join(wanted.select("class", "row"), "class").groupBy("row").agg(F.min("shingles").alias("data"))
+    return land(arrays, "jaccard-arrays")
+
+
+def _labels(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """The rows with the component that the links so far give them, by default their own."""
+    linked = components(links)
+    return rows.join(linked, rows["row"] == linked["node"], "left").select(*rows.columns, F.coalesce("component", "row").alias("component"))
+
+
+def _join_heaps(heaps: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
+    """Links that join the components of each heap (row, heap)."""
+    sides = heaps.groupBy("heap").agg(F.ceil(F.count(F.lit(1)) / SIDE).cast("int").alias("sides"))
+    members = materialize(heaps.join(sides, "heap"))
+    links = None
+
+    def joined(dealt: DataFrame) -> DataFrame:
+        full = dealt.join(arrays, "row").select(F.col("heap").alias("tile"), F.col("side").alias("i"), F.lit(0).alias("j"), (F.octet_length("data") / 8).cast("bigint").alias("n"), "row", "component", "data")
+        found = _dealt(full, percent, exact=True)
+        return materialize(found if links is None else links.unionByName(found))
+
+    def parted(rows: DataFrame) -> DataFrame:
+        """Labelled rows of the heaps that do not hang together yet."""
+        rows = materialize(_labels(rows, links))
+        open_heaps = rows.groupBy("heap").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high")
+        return rows.join(open_heaps.select("heap"), "heap", "left_semi")
+
+    for deal in (1, 2):
+        labelled = members.withColumn("component", F.col("row")) if links is None else parted(members)
+        dealt = labelled.withColumn("side", F.pmod(F.xxhash64("row", F.lit(deal)), F.col("sides")).cast("int"))
+        links = joined(dealt)
+        members = members.filter("sides > 1")  # one side has seen all its pairs
+        if members.isEmpty():
+            return links
+    rest = materialize(parted(members))
+    largest = rest.groupBy("heap", "component").agg(F.count(F.lit(1)).alias("rows")).groupBy("heap").agg(F.max_by("component", F.struct("rows", "component")).alias("largest"))
+    rest = rest.join(largest, "heap")
+    own = F.array(F.pmod(F.xxhash64("row"), F.col("sides")).cast("int"))
+    everywhere = F.sequence(F.lit(0), F.col("sides") - 1)
+    return joined(rest.withColumn("side", F.explode(F.when(F.col("component") == F.col("largest"), own).otherwise(everywhere))))
 
 
 def similar_documents(docs: DataFrame, size: int = SHINGLE, percent: int = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -321,11 +366,11 @@ def similar_documents(docs: DataFrame, size: int = SHINGLE, percent: int = SIMIL
 
     bounded = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "bitmap_a", "bitmap_b")
     bounded = materialize(bounded.mapInArrow(lambda it: _filter_bitmaps(it, percent), "a bigint, b bigint"))
-    links = materialize(_verify(bounded, nodes, texts, size, percent))
-
     members = found.filter("kind = 1").select(F.col("a").alias("g"), F.col("b").alias("row"))
-    if not members.isEmpty():
-        links = materialize(links.unionByName(_verify(_cross_pairs(members, links, maps, percent), nodes, texts, size, percent)))
+    edges = materialize(bounded.unionByName(_tile_edges(members, maps, percent)).distinct())
+    heaps = materialize(components(edges).select(F.col("node").alias("row"), F.col("component").alias("heap")))
+    wanted = materialize(heaps.select("row").join(nodes.select("row", "doc_id", "class"), "row"))
+    links = _join_heaps(heaps, _arrays_of(wanted, texts, size), percent)
 
     linked = components(links)
     ids = sets.filter("class is not null").select("row", "doc_id", "class").join(classes.select("class", "node"), "class")
@@ -336,17 +381,11 @@ def similar_documents(docs: DataFrame, size: int = SHINGLE, percent: int = SIMIL
     return every.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def _cross_pairs(members: DataFrame, links: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
-    """Pairs inside larger tiles that do not hang together yet and pass the bit bound. A tile is
-    cut into sides of about TILE rows, and each two sides meet in a task of their own."""
-    linked = components(links)
-    known = members.join(linked, members["row"] == linked["node"], "left").select("g", "row", F.coalesce("component", "row").alias("component"))
-    known = materialize(known)
-    split = known.groupBy("g").agg(F.count(F.lit(1)).alias("rows"), F.min("component").alias("low"), F.max("component").alias("high"))
-    split = split.filter("low <> high").select("g", F.ceil(F.col("rows") / TILE).cast("int").alias("sides"))
-    active = known.join(split, "g").join(maps, "row")
-    active = active.withColumn("side", F.pmod(F.xxhash64("row"), F.col("sides")).cast("int"))
+def _tile_edges(members: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
+    """Of larger tiles (g, row), pairs within the bit bound that hang together all such pairs: at
+    most one per row and side. A tile is cut into sides, and each two of them meet in one task."""
+    split = members.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / SIDE).cast("int").alias("sides"))
+    active = members.join(split, "g").join(maps, "row").withColumn("side", F.pmod(F.xxhash64("row"), F.col("sides")).cast("int"))
     dealt = active.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)))
-    dealt = dealt.select("g", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "n", "row", "component", "side", "bitmap")
-    dealt = dealt.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j", "n", "row")
-    return materialize(dealt.mapInArrow(lambda it: _compare_tiles(it, percent), "a bigint, b bigint").distinct())
+    dealt = dealt.select(F.col("g").alias("tile"), F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "n", "row", F.col("row").alias("component"), F.col("bitmap").alias("data"))
+    return _dealt(dealt, percent, exact=False)
