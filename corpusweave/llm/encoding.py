@@ -30,7 +30,7 @@ CUT = re.compile(f"(?<=[^{BLANKS}])(?= [^{BLANKS}])")
 #: Characters of one text that are held as pieces at a time.
 SLICE_CHARS = 1 << 20
 #: Bytes of pieces and ids that a worker remembers; beyond it, it starts afresh.
-CACHE_BYTES = 160 << 20
+CACHE_BYTES = 112 << 20
 _ENTRY_BYTES = 160  # of Python objects for one piece
 
 
