@@ -76,7 +76,7 @@ SELECT token, count, round(count / (SELECT sum(count) FROM counts), 9) AS share
   AND (SELECT count(*) FROM counts WHERE token NOT IN (SELECT token FROM small)) < 10000000 ORDER BY count DESC, token LIMIT 30""")
 def _(spark, sf):
     known = vocab.truncate_vocab(vocab.build_vocab(vocab.count_tokens(doc_tokens(spark, sf), "tokens")), 600, 0)
-    report = vocab.unk_report(doc_tokens(spark, sf), "tokens", known, max_distinct=10_000_000)
+    report = vocab.unk_report(doc_tokens(spark, sf), "tokens", known)
     return report.withColumn("share", F.round("share", 9))
 
 

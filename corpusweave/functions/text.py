@@ -115,15 +115,13 @@ def repair_identifiers(value) -> Column:
     for prefix in NAME_PREFIXES:
         broken = "(?:@@ )?".join(prefix)
         out = F.regexp_replace(out, rf"{broken}(?:@@ )?([0-9]+(?:$| ))", f"{prefix}$1")
-        out = _join_digits(out, prefix)
+        out = _join_digits(out, prefix, "@@ ")
     return out
 
 
-def _join_digits(value: Column, prefix: str, rounds: int = 3) -> Column:
-    out = value
-    for _ in range(rounds):
-        out = F.regexp_replace(out, f"({prefix}[0-9]+)@@ ([0-9]+)", "$1$2")
-    return out
+def _join_digits(value: Column, prefix: str, joint: str) -> Column:
+    """Any number of pieces in one pass: each match goes on where the last one ended."""
+    return F.regexp_replace(value, rf"((?:{prefix}|(?!^)\G)[0-9]+){joint}(?=[0-9])", "$1")
 
 
 def repair_spaced_identifiers(value) -> Column:
@@ -133,8 +131,7 @@ def repair_spaced_identifiers(value) -> Column:
         out = F.replace(out, F.lit(broken), F.lit(prefix))
     for prefix in NAME_PREFIXES:
         out = F.replace(out, F.lit(f"Ġ{prefix}"), F.lit(f"Ġ {prefix}"))
-        for _ in range(3):
-            out = F.regexp_replace(out, f"({prefix}[0-9]+) ([0-9]+)", "$1$2")
+        out = _join_digits(out, prefix, " ")
     return out
 
 

@@ -20,7 +20,6 @@ N_LISTS = 512
 N_PROBE = 32
 N_SUB = 64
 N_CODES = 256
-TRAIN_CAP = 1_000_000
 SEED = 1
 
 
@@ -35,9 +34,13 @@ def _table(spark: SparkSession, centers: np.ndarray, name: str) -> DataFrame:
     return spark.createDataFrame(rows, f"{name} int, center array<double>")
 
 
-def train_ivf(store: DataFrame, n_lists: int = N_LISTS, cap: int = TRAIN_CAP, seed: int = SEED) -> DataFrame:
-    """Coarse centres (list_id, center) from a capped sample of the store."""
-    sample = capped_sample(store.select("row_id", "vector"), cap, seed, "row_id")
+def _sampled(rows: DataFrame, cap: int | None, seed: int) -> DataFrame:
+    return rows if cap is None else capped_sample(rows, cap, seed, "row_id")
+
+
+def train_ivf(store: DataFrame, n_lists: int = N_LISTS, cap: int | None = None, seed: int = SEED) -> DataFrame:
+    """Coarse centres (list_id, center) from the store, or from a sample of at most `cap` rows."""
+    sample = _sampled(store.select("row_id", "vector"), cap, seed)
     sample = materialize(sample.select(F.col("vector").cast("array<double>").alias("vector")))
     return _table(store.sparkSession, _centers(sample, F.col("vector"), n_lists, seed), "list_id")
 
@@ -90,11 +93,13 @@ def _part(column: str, sub: int, width: int) -> Column:
 
 def train_pq(
     postings: DataFrame, centroids: DataFrame, dim: int, n_sub: int = N_SUB, n_codes: int = N_CODES,
-    cap: int = TRAIN_CAP, seed: int = SEED,
+    cap: int | None = None, seed: int = SEED,
 ) -> DataFrame:
     """Codebooks (sub, code, center): one k-means per slice of the residuals."""
+    if dim % n_sub:
+        raise ValueError(f"{dim} dimensions can not be cut into {n_sub} equal slices")
     width = dim // n_sub
-    sample = capped_sample(_residuals(postings, centroids).select("row_id", "residual"), cap, seed, "row_id")
+    sample = _sampled(_residuals(postings, centroids).select("row_id", "residual"), cap, seed)
     sample = materialize(sample)
     rows = []
     for sub in range(n_sub):

@@ -16,6 +16,7 @@ from .ordering import with_row_index
 
 # Base words and the number of placeholders per kind, in id order.
 BASE_WORDS = ["<s>", "</s>", "<pad>", "<unk>"]
+UNKNOWN_WORD = BASE_WORDS[3]
 LINE_SEPARATOR = "\u2028"  # a word with it would split a vocabulary line
 PLACEHOLDERS = {"CLASS": 100, "FUNC": 200, "VAR": 200}
 
@@ -151,21 +152,22 @@ def index_corpus(df: DataFrame, row_id: str, tokens: str, vocab: DataFrame) -> D
 
 
 def ids_to_text(df: DataFrame, row_id: str, ids: str, vocab: DataFrame) -> DataFrame:
-    """Drop the first id, stop at the first end mark, look the rest up, join by blanks."""
+    """Drop the first id, stop at the first end mark, look the rest up, join by blanks. An id
+    that the vocabulary lacks gives the unknown word, whatever the vocabulary's size."""
     rows = vocab.select("id", "token").limit(LOOKUP_LIMIT + 1).collect()
     body = df.select(row_id, until_eos(ids).alias("body"))
     if len(rows) > LOOKUP_LIMIT:
         exploded = body.select(row_id, F.posexplode_outer("body").alias("__pos", "__id"))
         named = exploded.join(vocab.select(F.col("id").alias("__id"), F.col("token").alias("__token")), "__id", "left")
         grouped = named.groupBy(row_id).agg(F.array_sort(F.collect_list(F.struct("__pos", "__token"))).alias("__t"))
-        return grouped.select(row_id, F.array_join(F.transform("__t", lambda s: s["__token"]), " ").alias("text"))
+        return grouped.select(row_id, F.array_join(F.transform("__t", lambda s: s["__token"]), " ", UNKNOWN_WORD).alias("text"))
     table = df.sparkSession.sparkContext.broadcast(([r["id"] for r in rows], [r["token"] for r in rows]))
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers, words = pa.array(table.value[0], pa.int32()), pa.array(table.value[1], pa.string())
         for batch in batches:
             column = batch.column(1)
-            found = words.take(pc.index_in(column.flatten(), value_set=numbers))
+            found = pc.fill_null(words.take(pc.index_in(column.flatten(), value_set=numbers)), UNKNOWN_WORD)
             offsets = pc.subtract(column.offsets, column.offsets[0])
             text = pc.binary_join(pa.ListArray.from_arrays(offsets, found), " ")
             yield pa.RecordBatch.from_arrays([batch.column(0), text], names=[row_id, "text"])
@@ -174,14 +176,15 @@ def ids_to_text(df: DataFrame, row_id: str, ids: str, vocab: DataFrame) -> DataF
     return body.mapInArrow(name, f"`{row_id}` {kind}, text string")
 
 
-def unk_report(df: DataFrame, tokens: Column | str, vocab: DataFrame, limit: int = 30, max_distinct: int = 30_000) -> DataFrame:
+def unk_report(df: DataFrame, tokens: Column | str, vocab: DataFrame, limit: int = 30, max_distinct: int | None = None) -> DataFrame:
     """Most frequent unknown words and their share of all tokens. Counting comes first, so
-    only one row per distinct word meets the vocabulary. No rows with too many unknowns."""
+    only one row per distinct word meets the vocabulary. With `max_distinct`, no rows from so
+    many distinct unknown words on."""
     known = vocab.select("token", F.lit(1).alias("__known"))
     counts = keep(count_tokens(df, tokens, None).join(hint_if_small(known), "token", "left"))
     unknown = F.col("__known").isNull()
     totals = counts.agg(F.sum("count").alias("all"), F.count_if(unknown).alias("distinct")).first()
-    allowed = limit if totals["distinct"] < max_distinct else 0
+    allowed = limit if max_distinct is None or totals["distinct"] < max_distinct else 0
     top = counts.filter(unknown).orderBy(F.desc("count"), "token").limit(allowed)
     return top.select("token", "count", (F.col("count") / F.lit(max(totals["all"] or 0, 1))).alias("share"))
 

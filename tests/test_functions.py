@@ -184,3 +184,30 @@ def test_split_sentence_id(spark):
 def test_until_eos(spark):
     assert spark.range(1).select(arrays.until_eos(ids(1, 7, 1, 8))).first()[0] == [7]
     assert spark.range(1).select(arrays.until_eos(ids(1, 7, 8))).first()[0] == [7, 8]
+
+
+def test_broken_placeholders_of_any_length(spark):
+    from corpusweave.functions import text
+
+    df = spark.createDataFrame([("VAR_1@@ 2@@ 3@@ 4@@ 5@@ 6 x", "ĠVAR_1 2 3 4 5 6")], "a string, b string")
+    row = df.select(text.repair_identifiers("a").alias("a"), text.repair_spaced_identifiers("b").alias("b")).first()
+    assert row["a"] == "VAR_123456 x" and "VAR_123456" in row["b"]
+
+
+def test_unknown_ids_read_alike_on_both_paths(spark, monkeypatch):
+    from corpusweave.operators import vocab
+
+    known = spark.createDataFrame([(514, "a"), (515, "b")], "id int, token string")
+    df = spark.createDataFrame([(1, [1, 514, 900, 515, 1])], "row_id long, ids array<int>")
+    small = vocab.ids_to_text(df, "row_id", "ids", known).first()["text"]
+    monkeypatch.setattr(vocab, "LOOKUP_LIMIT", 1)
+    assert small == vocab.ids_to_text(df, "row_id", "ids", known).first()["text"] == "a <unk> b"
+
+
+def test_long_function_ids_are_not_cut(spark):
+    from corpusweave.plans import mining
+
+    rows = [("f" * 63 + x, b, s, 1.0, c, "py") for x in "ab" for b, s, c in ((0, "failure", "bad " + x), (1, "success", "good " + x))]
+    runs = spark.createDataFrame(rows, "func_id string, beam int, status string, value double, code string, lang string")
+    found = mining.correction_pairs(runs)
+    assert found.select("pair_id").distinct().count() == 2
