@@ -30,7 +30,7 @@ CUT = re.compile(f"(?<=[^{BLANKS}])(?= [^{BLANKS}])")
 #: Characters of one text that are held as pieces at a time.
 SLICE_CHARS = 1 << 20
 #: Bytes of pieces and ids that a worker remembers; beyond it, it starts afresh.
-CACHE_BYTES = 112 << 20
+CACHE_BYTES = 160 << 20
 _ENTRY_BYTES = 160  # of Python objects for one piece
 
 
@@ -59,7 +59,8 @@ def _known(spec: dict) -> bool:
 class Encoder:
     """ids as bytes of unsigned integers, `width` bytes each, little-endian."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache_bytes: int = CACHE_BYTES):
+        self.cache_bytes = cache_bytes
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
@@ -94,7 +95,7 @@ class Encoder:
             self.cache.update(zip(part, ids, strict=True))
             self.held += sum(map(len, part)) + sum(map(len, ids)) + _ENTRY_BYTES * len(part)
         out = [b"".join(map(self.cache.__getitem__, pieces)) for pieces in split]
-        if self.held > CACHE_BYTES:
+        if self.held > self.cache_bytes:
             self.cache.clear()
             self.held = 0
         return out
@@ -125,6 +126,6 @@ class Encoder:
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str) -> Encoder:
+def encoder(path: str, cache_bytes: int = CACHE_BYTES) -> Encoder:
     """One encoder per worker process; its cache lives on between tasks."""
-    return Encoder(path)
+    return Encoder(path, cache_bytes)
