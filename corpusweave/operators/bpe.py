@@ -102,10 +102,12 @@ def learn_bpe(counts: DataFrame, n_merges: int, word: str = "word", count: str =
 
 
 def _segment(word: str, ranks: dict) -> str:
-    """Apply merges by rank until none fits."""
+    """Apply merges by rank until none fits; an empty token stays as it is."""
+    if not word:
+        return word
     symbols = [*word[:-1], word[-1] + END]
     while len(symbols) > 1:
-        best = min(zip(symbols, symbols[1:]), key=lambda p: ranks.get(p, CODES_LIMIT + 1))
+        best = min(zip(symbols, symbols[1:]), key=lambda p: ranks.get(p, len(ranks)))
         if best not in ranks:
             break
         merged, i = [], 0
@@ -122,7 +124,7 @@ def _segment(word: str, ranks: dict) -> str:
 
 def apply_bpe(df: DataFrame, row_id: str, tokens: str, codes: DataFrame) -> DataFrame:
     """(row_id, text) with sub-words joined by `@@ `. Each batch segments its distinct words
-    once (kept between batches); rows do not move."""
+    once (kept between batches); rows do not move. Null tokens are left out."""
     rows = codes.select("left", "right", "rank").limit(CODES_LIMIT + 1).collect()
     if len(rows) > CODES_LIMIT:
         raise ValueError(f"more than {CODES_LIMIT} merges")
@@ -139,4 +141,4 @@ def apply_bpe(df: DataFrame, row_id: str, tokens: str, codes: DataFrame) -> Data
             yield pa.RecordBatch.from_arrays([batch.column(0), text], names=[row_id, "text"])
 
     kind = dict(df.dtypes)[row_id]
-    return df.select(row_id, tokens).mapInArrow(segment, f"`{row_id}` {kind}, text string")
+    return df.select(row_id, F.array_compact(tokens)).mapInArrow(segment, f"`{row_id}` {kind}, text string")

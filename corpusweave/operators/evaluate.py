@@ -200,6 +200,7 @@ def _ngrams(df: DataFrame, keys: list[str], tokens: str) -> DataFrame:
 def bleu(hyp: DataFrame, refs: DataFrame, line_id: str, hyp_tokens: str, ref_tokens: str, ref_no: str) -> DataFrame:
     """Corpus BLEU-4 in percent with clipped counts and the closest reference length.
 
+    A line without a reference counts with its length and its unmatched n-grams.
     Token arrays are shuffled once by line; n-grams, which are many times larger, are made
     and counted inside the partition that holds their line."""
     sides = hyp.select(line_id, F.lit(None).cast("string").alias("__ref"), F.col(hyp_tokens).alias("__t")).unionByName(
@@ -216,7 +217,7 @@ def bleu(hyp: DataFrame, refs: DataFrame, line_id: str, hyp_tokens: str, ref_tok
         *[F.sum(F.when(F.col("n") == n, F.col("count")).otherwise(0)).alias(f"t{n}") for n in range(1, 5)],
     )
     lengths = hyp.select(line_id, F.size(hyp_tokens).alias("h")).join(
-        refs.select(line_id, F.size(ref_tokens).alias("r")), line_id
+        refs.select(line_id, F.size(ref_tokens).alias("r")), line_id, "left"
     )
     closest = lengths.groupBy(line_id).agg(
         F.first("h").alias("h"), F.min(F.struct(F.abs(F.col("h") - F.col("r")).alias("d"), F.col("r"))).alias("c")

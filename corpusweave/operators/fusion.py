@@ -5,10 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Defaults of the fusion.
-DEFAULTS = {"k": 8, "lambda_": 0.5, "temperature": 10.0, "model_temperature": 5.0}
-
-
 def _weights(df: DataFrame, score: Column, keys: list[str], share: float, first: int) -> DataFrame:
     rows = Window.partitionBy(*keys)
     scored = df.withColumn("__e", F.exp(score - F.max(score).over(rows)))
@@ -28,9 +24,11 @@ def fuse_scores(
     `(1−λ)·softmax(s/Tₘ)` of the model's own top k, summed per token.
 
     `neighbours` has rank, token, distance; `model` has rank, token, score. With `beam` the
-    token ids of beam i are shifted by `i · vocab_size` and a sentence keeps its best
-    `2·beams` (pass that as `n`). Equal sums go to the token met first, neighbours before
+    token ids of beam i are shifted by `i · vocab_size`, which must then be given, and a
+    sentence keeps its best `2·beams` (pass that as `n`). Equal sums go to the token met first, neighbours before
     model. Everything after the first shuffle is keyed by the query."""
+    if beam and vocab_size <= 0:
+        raise ValueError("beams need vocab_size: equal tokens of two beams are two candidates")
     keys = [query, beam] if beam else [query]
     votes = _weights(neighbours.filter(F.col("rank") <= k), -F.col("distance") / temperature, keys, lambda_, 0)
     own = _weights(model.filter(F.col("rank") <= k), F.col("score") / model_temperature, keys, 1.0 - lambda_, 1_000_000_000)

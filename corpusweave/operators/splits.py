@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 from ..functions.binding import let
 from ..functions.hashing import _col, adler32, shuffle_rank, uniform
 from ..session import keep
-from .ordering import with_group_rank, with_row_index
+from .ordering import with_group_rank, with_row_index, with_running
 
 SAMPLE_BUCKETS = 65536
 SMALL_HEAD = 1000
+LITERAL_KEYS = 10_000  # of a weight table that is written into the expression
+_UNITS = 1 << 52
 
 
 def split_label(repo, percent_test: int = 1, percent_valid: int = 1) -> Column:
@@ -141,12 +143,8 @@ def sampling_weights(df: DataFrame, key: str, alpha: float) -> DataFrame:
     return smoothed.select(key, "n", (F.col("__p") / F.sum("__p").over(everything)).alias("weight"))
 
 
-def _choice(weights: DataFrame, key: str, draw: Column) -> Column:
-    """Inverse of the cumulative weights at `draw`. The weight table (languages or language
-    pairs) is read once and becomes a literal; its size is checked."""
-    rows = weights.select(key, "weight").orderBy(key).limit(10_001).collect()
-    if len(rows) > 10_000:
-        raise ValueError("weighted draws expect at most 10,000 keys")
+def _choice(rows: list, key: str, draw: Column) -> Column:
+    """Inverse of the cumulative weights at `draw`, from a literal table."""
     total, steps = 0.0, []
     for row in rows:
         total += row["weight"]
@@ -158,8 +156,29 @@ def _choice(weights: DataFrame, key: str, draw: Column) -> Column:
 
 
 def weighted_choice(df: DataFrame, weights: DataFrame, key: str, seed: int, row_id: str) -> DataFrame:
-    """One draw with replacement per row of `df`."""
-    return df.withColumn("choice", _choice(weights, key, uniform(seed, row_id)))
+    """One draw with replacement per row of `df`. A short weight table (languages or language
+    pairs) becomes a literal; a longer one is joined by range."""
+    rows = weights.select(key, "weight").orderBy(key).limit(LITERAL_KEYS + 1).collect()
+    if len(rows) <= LITERAL_KEYS:
+        return df.withColumn("choice", _choice(rows, key, uniform(seed, row_id)))
+    return _range_choice(df, weights.select(key, "weight"), key, uniform(seed, row_id))
+
+
+def _range_choice(df: DataFrame, weights: DataFrame, key: str, draw: Column) -> DataFrame:
+    """As `_choice`, for any number of keys: cumulative weights and draws as whole numbers, which
+    meet in equal slices of the range. A heavy key lies in many slices, so draws are spread."""
+    units = weights.withColumn("__units", F.floor(F.col("weight") * _UNITS))
+    upto = with_running(units, [key], sums={"__upto": F.col("__units")})
+    last, n = upto.agg(F.max(key), F.count(F.lit(1))).first()
+    width = max(1, _UNITS // n)
+    # the last key takes what rounding leaves
+    ends = upto.withColumn("__stop", F.when(F.col(key) == F.lit(last), F.lit(_UNITS)).otherwise(F.col("__upto")))
+    ranges = ends.select(F.col(key).alias("choice"), (F.col("__upto") - F.col("__units")).alias("__start"), "__stop")
+    slices = F.sequence(F.expr(f"__start div {width}"), F.expr(f"(__stop - 1) div {width}"))
+    ranges = ranges.filter("__stop > __start").withColumn("__slice", F.explode(slices))
+    drawn = df.withColumn("__draw", (draw * _UNITS).cast("long")).withColumn("__slice", F.expr(f"__draw div {width}"))
+    joined = drawn.join(ranges, "__slice").filter("__draw >= __start and __draw < __stop")
+    return joined.select(*df.columns, "choice")
 
 
 def weighted_draw(weights: DataFrame, key: str, n: int, seed: int) -> DataFrame:

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.hashing import content_id
-from ..operators.dedup import dedup_by_key
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -39,7 +38,8 @@ def ingest_distinct(
     scope: list[str] | None = None, source_format: str = "json", max_files: int = 10_000,
 ) -> None:
     """As `ingest_new`, keeping only texts that are new in their scope: each micro-batch is
-    deduplicated in itself and against the hashes written before.
+    deduplicated in itself and against the hashes written before. The row with the lowest
+    `row_id` stays, one row also where a row was delivered twice.
 
     `target` holds one folder per batch. A repeated batch replaces its own folder and ignores
     it when it looks for known hashes, so a retry changes nothing."""
@@ -47,7 +47,9 @@ def ingest_distinct(
 
     def write(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
-        fresh = dedup_by_key(batch.withColumn("content_hash", content_id(text)), keys, row_id)
+        hashed = batch.withColumn("content_hash", content_id(text))
+        first = F.min_by(F.struct(*hashed.columns), F.col(row_id)).alias("__row")
+        fresh = hashed.groupBy(*[F.col(k).alias(f"__key_{k}") for k in keys]).agg(first).select("__row.*")
         if _exists(session, target):
             known = session.read.option("basePath", target).parquet(target).filter(F.col("batch") != batch_id)
             fresh = fresh.join(known.select(*keys), keys, "left_anti")

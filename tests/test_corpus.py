@@ -227,5 +227,14 @@ def test_learn_bpe_equals_one_merge_at_a_time(spark, counts):
 
 def test_apply_bpe(spark):
     codes = spark.createDataFrame([("l", "o", 0), ("lo", "w</w>", 1)], "left string, right string, rank int")
-    df = spark.createDataFrame([(1, ["low", "lows"]), (2, [])], "id int, t array<string>")
-    assert {r.id: r.text for r in bpe.apply_bpe(df, "id", "t", codes).collect()} == {1: "low lo@@ w@@ s", 2: ""}
+    df = spark.createDataFrame([(1, ["low", "lows"]), (2, []), (3, ["", None])], "id int, t array<string>")
+    assert {r.id: r.text for r in bpe.apply_bpe(df, "id", "t", codes).collect()} == {1: "low lo@@ w@@ s", 2: "", 3: ""}
+
+
+def test_weighted_draws_by_range_equal_the_literal_table(spark, monkeypatch):
+    weights = spark.createDataFrame([(f"k{i:02}", 0.5 if i == 3 else 0.5 / 29) for i in range(30)], "k string, weight double")
+    rows = spark.range(500)
+    drawn = lambda: {r.id: r.choice for r in splits.weighted_choice(rows, weights, "k", 4, "id").collect()}
+    literal = drawn()
+    monkeypatch.setattr(splits, "LITERAL_KEYS", 5)
+    assert len(literal) == 500 and drawn() == literal

@@ -122,6 +122,8 @@ def test_fusion_edges(spark):
     assert fuse(spark, near, own, lambda_=0.0)[0] == (8, 0.5)  # met first among the neighbours
     assert fuse(spark, near, own, lambda_=1.0)[0] == (7, round(2 / 3, 6))
     assert fuse(spark, [(0, 1, 5, 0.0)], [(0, 1, 6, 0.0)], n=2) == [(5, 0.5), (6, 0.5)]
+    with pytest.raises(ValueError):
+        fuse(spark, near, own, beam="rank")
 
 
 # --- batches ---

@@ -80,6 +80,13 @@ def test_bleu(spark, pairs):
     assert score.first()["bleu"] == pytest.approx(bleu_by_hand(pairs))
 
 
+def test_bleu_counts_lines_without_a_reference(spark):
+    hyp = spark.createDataFrame([(0, ["a", "b", "c", "d"]), (1, ["e", "f"])], "id int, h array<string>")
+    ref = spark.createDataFrame([(0, 0, ["a", "b", "c", "d"])], "id int, k int, r array<string>")
+    score = evaluate.bleu(hyp, ref, "id", "h", "r", "k").first()
+    assert (score.hyp_len, score.ref_len, score.p1) == (6, 4, pytest.approx(100 * 4 / 6))
+
+
 def test_ranking_ties_and_single_class(spark):
     def run(rows):
         return evaluate.ranking_scores(spark.createDataFrame(rows, "y int, s double"), "y", "s").first()

@@ -96,6 +96,15 @@ def test_stream_runs_twice_without_repeats(spark, tmp_path):
     assert sorted(r.text for r in out.collect()) == ["a", "b", "c"]
 
 
+def test_ingest_distinct_keeps_one_of_rows_delivered_twice(spark, tmp_path):
+    source = tmp_path / "in"
+    source.mkdir()
+    for name in ("one", "two"):
+        (source / f"{name}.json").write_text('{"id": 1, "text": "a"}\n{"id": 2, "text": "b"}\n{"id": 3, "text": "a"}\n')
+    ingest.ingest_distinct(spark, str(source), f"{tmp_path}/out", f"{tmp_path}/log", "id int, text string", "text", "id")
+    assert sorted((r.id, r.text) for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [(1, "a"), (2, "b")]
+
+
 def fake_session(setting, master):
     made = []
     context = SimpleNamespace(master=master, getCheckpointDir=lambda: made[0] if made else None, setCheckpointDir=made.append)
