@@ -96,8 +96,12 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # SQL text of helper expressions
 
+#: Tokens between Unicode white space, as `functions.text.words`.
+_WORD = r"[^\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+
+
 def sql_words(column: str) -> str:
-    return rf"regexp_extract_all({column}, '\S+')"
+    return f"regexp_extract_all({column}, '{_WORD}')"
 
 
 def sql_uniform(seed, *keys: str) -> str:
@@ -118,7 +122,7 @@ def sql_adler32(column: str) -> str:
     return f"({high} * 65536 + {low})::BIGINT"
 
 
-TOKENS = """doc_tokens AS (SELECT doc_id, lang, regexp_extract_all(text, '\\S+') AS tokens FROM documents)"""
+TOKENS = f"""doc_tokens AS (SELECT doc_id, lang, {sql_words('text')} AS tokens FROM documents)"""
 
 VOCAB = """counts AS (SELECT token, count(*) AS count FROM (SELECT unnest(tokens) AS token FROM doc_tokens) GROUP BY token),
 vocab AS (SELECT token, (row_number() OVER (ORDER BY count DESC, token) + 513)::INT AS id, count FROM

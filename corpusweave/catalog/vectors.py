@@ -9,7 +9,7 @@ from ..sources import tables
 from ..session import scratch_path
 from .base import PAIRS, docs, pairs, query, sql_uniform, sql_words, table
 
-_PAIR_VOCAB = """tok AS (SELECT unnest(regexp_extract_all(target, '\\S+')) AS token FROM pairs),
+_PAIR_VOCAB = """tok AS (SELECT unnest(""" + sql_words("target") + """) AS token FROM pairs),
 counts AS (SELECT token, count(*) AS count FROM tok GROUP BY token ORDER BY count DESC, token LIMIT 64000),
 vocab AS (SELECT token, (row_number() OVER (ORDER BY count DESC, token) + 513)::INT AS id FROM counts)"""
 

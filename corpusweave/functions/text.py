@@ -21,9 +21,13 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
 
+#: A token: no character that Unicode or ASCII control codes count as white space.
+WORD = r"[^\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
+
+
 def words(value) -> Column:
-    """White-space separated tokens, no empty strings."""
-    return F.regexp_extract_all(_col(value), F.lit(r"(\S+)"), F.lit(1))
+    """Tokens between Unicode white space, no empty strings."""
+    return F.regexp_extract_all(_col(value), F.lit(WORD), F.lit(0))
 
 
 def protect_names(value) -> Column:

@@ -211,3 +211,8 @@ def test_long_function_ids_are_not_cut(spark):
     runs = spark.createDataFrame(rows, "func_id string, beam int, status string, value double, code string, lang string")
     found = mining.correction_pairs(runs)
     assert found.select("pair_id").distinct().count() == 2
+
+
+def test_words_split_at_unicode_white_space(spark):
+    value = "a\u00a0b\u3000c\u0085d\x1ce\x0bf\u2028g  h\u200bi"
+    assert spark.createDataFrame([(value,)], "t string").select(text.words("t")).first()[0] == value.split()
