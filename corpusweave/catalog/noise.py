@@ -78,9 +78,29 @@ def _(spark, sf):
     return _wrapped(spark, sf).select("doc_id", F.array_join(augment.word_blank("ids", "doc_id", 0.2, 6), " ").alias("ids"))
 
 
-@query("span_mask")
+_BOUNDS = ", ".join(f"{b!r}::DOUBLE" for b in augment.length_bounds(lam=3.0))
+
+
+@query("span_mask", f"""
+WITH {_T}, b AS (SELECT doc_id, ceil(len(ids) * 0.15::DOUBLE)::INT AS budget FROM w), d AS (SELECT doc_id, budget, unnest(range(budget))::INT AS j FROM b),
+u AS (SELECT *, {_u('7l', 'doc_id', 'j')} AS u FROM d), l AS (SELECT doc_id, budget, j, len([c FOR c IN [{_BOUNDS}] IF c <= u]) AS size FROM u),
+s AS (SELECT *, sum(size) OVER (PARTITION BY doc_id ORDER BY j) - size AS before FROM l),
+full_ AS (SELECT doc_id, least(size, budget - before) AS size, row_number() OVER (PARTITION BY doc_id ORDER BY j) AS k FROM s WHERE size > 0 AND before < budget),
+none AS (SELECT doc_id, count(*) AS m FROM s WHERE size = 0 AND before < budget GROUP BY doc_id),
+p AS (SELECT doc_id, i, row_number() OVER (PARTITION BY doc_id ORDER BY {_u('7s', 'doc_id', 'i')}, i) AS k FROM t WHERE i > 0 AND i < n - 1),
+st AS (SELECT doc_id, i, size, {_u('7k', 'doc_id', 'i')} AS a, {_u('7r', 'doc_id', 'i')} AS r FROM p JOIN full_ USING (doc_id, k)),
+v AS (SELECT doc_id, i, n, CASE WHEN size IS NULL OR (a >= 0.8 AND a < 0.8 + 0.1) THEN x WHEN a < 0.8 THEN 5 ELSE floor(r * 1000)::INT END AS x,
+  max(i + size) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM t LEFT JOIN st USING (doc_id, i)),
+k AS (SELECT doc_id, x, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k FROM v WHERE i = 0 OR i = n - 1 OR reach IS NULL OR reach <= i),
+z AS (SELECT doc_id, count(*) + coalesce(any_value(m), 0) AS total, coalesce(any_value(m), 0) AS m FROM k LEFT JOIN none USING (doc_id) GROUP BY doc_id),
+g AS (SELECT doc_id, m, total, unnest(range(total))::INT AS g FROM z),
+o AS (SELECT doc_id, g, g > 0 AND g < total - 1 AND row_number() OVER (PARTITION BY doc_id ORDER BY CASE WHEN g > 0 AND g < total - 1 THEN {_u('7i', 'doc_id', 'g')} ELSE 2 END, g) <= m AS new_ FROM g),
+f AS (SELECT *, row_number() OVER (PARTITION BY doc_id, new_ ORDER BY g) AS k FROM o)
+SELECT f.doc_id, string_agg((CASE WHEN NOT new_ THEN x WHEN {_u('7w', 'f.doc_id', 'g')} >= 0.1 THEN 5 ELSE 514 + floor({_u('7o', 'f.doc_id', 'g')} * 486)::INT END)::VARCHAR, ' ' ORDER BY g) AS ids
+FROM f LEFT JOIN k ON f.doc_id = k.doc_id AND f.k = k.k AND NOT new_ GROUP BY f.doc_id""")
 def _(spark, sf):
-    return augment.span_mask(_wrapped(spark, sf), "doc_id", "ids", 0.15, 1000, lam=3.0, seed=7)
+    masked = augment.span_mask(_wrapped(spark, sf), "doc_id", "ids", 0.15, 1000, lam=3.0, seed=7)
+    return masked.select("doc_id", F.array_join("ids", " ").alias("ids"))
 
 
 @query("add_noise", f"""

@@ -3,12 +3,11 @@ position, so results do not change with partitioning or retries."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from ..functions.arrays import EOS, MASK, PAD
 from ..functions.binding import let
@@ -140,38 +139,19 @@ def span_lengths(lam: float | None = None, fixed: int | None = None) -> np.ndarr
     return np.array(probs) / np.sum(probs)
 
 
-def _mask_spans(ids: np.ndarray, p: float, lengths_p: np.ndarray, probs, n_words: int, word_rand: float, rng) -> np.ndarray:
-    n = len(ids)
-    budget = int(np.ceil(n * p))
-    lengths = rng.choice(len(lengths_p), size=budget, p=lengths_p)
-    spent = np.cumsum(lengths)
-    spans = budget
-    if budget and spent[-1] > budget:
-        cut = int(np.searchsorted(spent, budget))
-        lengths = lengths[: cut + 1]
-        lengths[cut] = budget - (spent[cut - 1] if cut else 0)
-        spans = cut + 1
-    lengths = lengths[lengths > 0]
-    inserts = spans - len(lengths)
-    out, keep = ids.copy(), np.ones(n, dtype=bool)
-    starts = rng.permutation(max(n - 2, 0))[: len(lengths)] + 1
-    kinds = rng.choice(3, size=len(starts), p=np.array(probs) / sum(probs))
-    randoms = rng.integers(0, n_words, size=len(starts))
-    for start, length, kind, word in zip(starts, lengths, kinds, randoms):
-        out[start] = (MASK, out[start], word)[kind]
-        keep[start + 1 : min(start + length, n)] = False
-    keep[[0, -1]] = True
-    out = out[keep]
-    if not inserts:
-        return out
-    total = len(out) + inserts
-    places = rng.permutation(total - 2)[:inserts] + 1
-    n_random = int((rng.random(inserts) < word_rand).sum())
-    result, free = np.full(total, MASK), np.ones(total, dtype=bool)
-    result[places[:n_random]] = rng.integers(min(FIRST_ORDINARY, n_words - 1), n_words, size=n_random)
-    free[places] = False
-    result[free] = out
-    return result
+def length_bounds(lam: float | None = None, fixed: int | None = None) -> list[float]:
+    """A draw's span length is the number of these bounds that it reaches."""
+    return np.cumsum(span_lengths(lam, fixed))[:-1].tolist()
+
+
+@F.pandas_udf(ArrayType(IntegerType()))
+def _running(lengths: pd.Series) -> pd.Series:
+    return lengths.map(lambda x: np.cumsum(x, dtype=np.int32))
+
+
+def _numbers(first: Column, end: Column) -> Column:
+    """Integers from `first` up to, but without, `end`."""
+    return F.when(end > first, F.sequence(first, end - 1)).otherwise(F.array().cast("array<int>"))
 
 
 def span_mask(
@@ -179,22 +159,70 @@ def span_mask(
     probs: tuple[float, float, float] = (0.8, 0.1, 0.1), word_rand: float = 0.1, seed: int = 0,
 ) -> DataFrame:
     """(row, ids) with spans replaced by one mask each and zero-length spans as insertions.
-    Without a length distribution this is `word_blank`."""
+    Without a length distribution this is `word_blank`.
+
+    A sentence of n ids has a budget of ceil(p · n) ids and as many length draws; spans count
+    until the budget is spent, and the last one is shortened to fit. The k-th span that is not
+    empty starts at the inner position with the k-th lowest draw: that id becomes a mask, stays
+    or becomes a random word, and the rest of the span goes. Each empty span adds a mask or, with
+    probability `word_rand`, a random ordinary word at one of the lowest-drawn inner places of
+    the result. End marks stay; null ids stay null."""
     if lam is None and fixed is None:
         return df.select(row_id, word_blank(ids, row_id, p, seed).alias("ids"))
-    chances = span_lengths(lam, fixed)
-    seeded = df.select(row_id, _col(ids).alias("ids"), F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), row_id)), 1, 15), 16, 10).cast("long").alias("__seed"))
-
-    def mask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [
-                _mask_spans(np.asarray(x), p, chances, probs, n_words, word_rand, np.random.default_rng(s))
-                for x, s in zip(batch["ids"], batch["__seed"])
-            ]
-            yield pd.DataFrame({row_id: batch[row_id], "ids": rows})
-
-    kind = dict(df.dtypes)[row_id]
-    return seeded.mapInPandas(mask, f"`{row_id}` {kind}, ids array<int>")
+    bounds = F.array(*[F.lit(b) for b in length_bounds(lam, fixed)]).cast("array<double>")
+    probs = tuple(float(x) / sum(probs) for x in probs)
+    ordinary = min(FIRST_ORDINARY, n_words - 1)
+    array = F.col("__ids")
+    n, budget = F.size(array), F.ceil(F.size(array) * F.lit(float(p))).cast("int")
+
+    def length(j: Column) -> Column:
+        return let(uniform(f"{seed}l", row_id, j), lambda u: F.size(F.filter(bounds, lambda b: b <= u)))
+
+    def drawn(name: str, end: Column) -> Column:
+        """(draw, place) of the places from 1 up to, but without, `end`."""
+        return F.transform(_numbers(F.lit(1), end), lambda i: F.struct(uniform(f"{seed}{name}", row_id, i).alias("u"), i.alias("at")))
+
+    def survivors(starts: Column, spans: Column) -> Column:
+        """Ids outside all tails; `starts` are the (draw, place) pairs of the spans, lowest first."""
+        tails = F.zip_with(starts, F.slice(spans, F.lit(1), F.size(starts)), lambda s, x: _numbers(s["at"] + 1, F.least(s["at"] + x, n - 1)))
+        noisy = lambda x, i: _masked(x, uniform(f"{seed}k", row_id, i), uniform(f"{seed}r", row_id, i), probs, n_words)
+
+        def joined(places: Column) -> Column:
+            at = F.transform(starts, lambda s: s["at"])
+            plain = F.transform(F.array_except(places, at), lambda i: F.struct(i.alias("at"), F.get(array, i).alias("id")))
+            heads = F.transform(F.array_intersect(at, places), lambda i: F.struct(i.alias("at"), noisy(F.get(array, i), i).alias("id")))
+            return F.transform(F.array_sort(F.concat(plain, heads)), lambda x: x["id"])
+
+        return let(F.array_except(_numbers(F.lit(0), n), F.flatten(tails)), joined)
+
+    def with_insertions(kept: Column) -> Column:
+        added = F.transform(
+            F.slice(F.array_sort(drawn("i", F.size(kept) + F.col("__empty") - 1)), F.lit(1), F.col("__empty")),
+            lambda d: F.struct(
+                d["at"].alias("at"),
+                F.when(uniform(f"{seed}w", row_id, d["at"]) >= word_rand, F.lit(MASK))
+                .otherwise((ordinary + F.floor(uniform(f"{seed}o", row_id, d["at"]) * (n_words - ordinary))).cast("int")).alias("id"),
+            ),
+        )
+
+        def merged(new: Column) -> Column:
+            free = F.array_except(_numbers(F.lit(0), F.size(kept) + F.size(new)), F.transform(new, lambda x: x["at"]))
+            old = F.zip_with(free, kept, lambda at, x: F.struct(at.alias("at"), x.alias("id")))
+            return F.transform(F.array_sort(F.concat(old, new)), lambda x: x["id"])
+
+        return let(added, merged)
+
+    lengths = df.select(row_id, _col(ids).alias("__ids")).withColumn("__drawn", F.transform(_numbers(F.lit(0), budget), length))
+    spent = lengths.withColumn("__spent", _running("__drawn"))
+    before = F.zip_with("__spent", "__drawn", lambda s, x: s - x)
+    spans = F.filter(F.zip_with("__drawn", before, lambda x, s: F.least(x, budget - s)), lambda x: x > 0)
+    empty = F.filter(F.zip_with("__drawn", before, lambda x, s: (x == 0) & (s < budget)), lambda hit: hit)
+    planned = spent.select(row_id, "__ids", F.size(empty).alias("__empty"), spans.alias("__spans"))
+    result = let(
+        F.col("__spans"),
+        lambda spans: let(F.slice(F.array_sort(drawn("s", n - 1)), F.lit(1), F.size(spans)), lambda starts: let(survivors(starts, spans), with_insertions)),
+    )
+    return planned.select(row_id, F.when(array.isNotNull(), result).alias("ids"))
 
 
 def add_noise(df: DataFrame, row_id: str, ids: str, shuffle_k: float, dropout: float, blank: float, seed: int = 0, n_words: int = FIRST_ORDINARY, **span) -> DataFrame:
