@@ -2,32 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import land
 
 
-def _state(links: DataFrame) -> tuple:
-    return tuple(links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+def _landed(links: DataFrame) -> tuple[DataFrame, dict]:
+    """Distinct links as a table, with their number and a sum of their hashes from the same pass."""
+    seen = Observation()
+    measured = links.distinct().observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("hash"))
+    table = land(measured, "components")
+    return table, seen.get
+
+
+def _pair(u: str, v: str):
+    return F.struct(F.col(u).alias("u"), F.col(v).alias("v"))
 
 
 def components(links: DataFrame) -> DataFrame:
     """node, component (its smallest node) for every node of the links (a, b) with a <> b.
 
     Each round points nodes at smaller ones; rounds grow with the logarithm of the longest
-    chain. Only links are shuffled, and no group is gathered: a star needs a minimum alone."""
+    chain. Only links are shuffled: by node for each star, then to drop repeated ones."""
     own = Window.partitionBy("u")
-    current = materialize(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    state = _state(current)
+    current, state = _landed(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")))
     while True:
-        both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = current.select(F.inline(F.array(_pair("u", "v"), _pair("v", "u"))))
         large = both.withColumn("m", F.least("u", F.min("v").over(own))).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         # links now point from larger to smaller nodes; pull a node's smaller neighbours together
-        pulled = large.distinct().withColumn("m", F.min("v").over(own))
-        small = pulled.select("u", F.col("m").alias("v")).unionByName(pulled.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")))
-        current = materialize(small.distinct())
-        before, state = state, _state(current)
+        pulled = large.withColumn("m", F.min("v").over(own))
+        small = pulled.select(F.inline(F.filter(F.array(_pair("u", "m"), _pair("v", "m")), lambda x: x["u"] != x["v"])))
+        before = state
+        current, state = _landed(small)
         if state == before:
             break
     roots = current.select(F.col("v").alias("node")).distinct()

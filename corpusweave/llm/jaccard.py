@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import land, materialize
+from ..session import land
 from .common import input_columns, lookup, output_field, text_slices, texts_of
 from .components import components
 from .textcodes import Texts
@@ -307,17 +307,17 @@ def _labels(rows: DataFrame, links: DataFrame) -> DataFrame:
 def _join_heaps(heaps: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
     """Links that join the components of each heap (row, heap)."""
     sides = heaps.groupBy("heap").agg(F.ceil(F.count(F.lit(1)) / SIDE).cast("int").alias("sides"))
-    members = materialize(heaps.join(sides, "heap"))
+    members = land(heaps.join(sides, "heap"), "jaccard-members")
     links = None
 
     def joined(dealt: DataFrame) -> DataFrame:
         full = dealt.join(arrays, "row").select(F.col("heap").alias("tile"), F.col("side").alias("i"), F.lit(0).alias("j"), (F.octet_length("data") / 8).cast("bigint").alias("n"), "row", "component", "data")
         found = _dealt(full, percent, exact=True)
-        return materialize(found if links is None else links.unionByName(found))
+        return land(found if links is None else links.unionByName(found), "jaccard-links")
 
     def parted(rows: DataFrame) -> DataFrame:
         """Labelled rows of the heaps that do not hang together yet."""
-        rows = materialize(_labels(rows, links))
+        rows = land(_labels(rows, links), "jaccard-labels")
         open_heaps = rows.groupBy("heap").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high")
         return rows.join(open_heaps.select("heap"), "heap", "left_semi")
 
@@ -328,7 +328,7 @@ def _join_heaps(heaps: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
         members = members.filter("sides > 1")  # one side has seen all its pairs
         if members.isEmpty():
             return links
-    rest = materialize(parted(members))
+    rest = land(parted(members), "jaccard-rest")
     largest = rest.groupBy("heap", "component").agg(F.count(F.lit(1)).alias("rows")).groupBy("heap").agg(F.max_by("component", F.struct("rows", "component")).alias("largest"))
     rest = rest.join(largest, "heap")
     own = F.array(F.pmod(F.xxhash64("row"), F.col("sides")).cast("int"))
@@ -358,23 +358,23 @@ def similar_documents(docs: DataFrame, size: int = SHINGLE, percent: int = SIMIL
     entries = nodes.select(F.explode("prefix").alias("g"), "n", "row")
     entries = entries.repartition("g").sortWithinPartitions("g", "n", "row")
     found = land(entries.mapInArrow(lambda it: _pairs_and_tiles(it, percent), TILES), "jaccard-tiles")
-    pairs = materialize(found.filter("kind = 0").select("a", "b").distinct())
+    pairs = land(found.filter("kind = 0").select("a", "b").distinct(), "jaccard-pairs")
     maps = nodes.select("row", "n", "bitmap")
 
     def side(name: str) -> DataFrame:
         return maps.select(F.col("row").alias(name), F.col("n").alias(f"n_{name}"), F.col("bitmap").alias(f"bitmap_{name}"))
 
     bounded = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "bitmap_a", "bitmap_b")
-    bounded = materialize(bounded.mapInArrow(lambda it: _filter_bitmaps(it, percent), "a bigint, b bigint"))
+    bounded = land(bounded.mapInArrow(lambda it: _filter_bitmaps(it, percent), "a bigint, b bigint"), "jaccard-bounded")
     members = found.filter("kind = 1").select(F.col("a").alias("g"), F.col("b").alias("row"))
-    edges = materialize(bounded.unionByName(_tile_edges(members, maps, percent)).distinct())
-    heaps = materialize(components(edges).select(F.col("node").alias("row"), F.col("component").alias("heap")))
-    wanted = materialize(heaps.select("row").join(nodes.select("row", "doc_id", "class"), "row"))
+    edges = land(bounded.unionByName(_tile_edges(members, maps, percent)).distinct(), "jaccard-edges")
+    heaps = land(components(edges).select(F.col("node").alias("row"), F.col("component").alias("heap")), "jaccard-heaps")
+    wanted = land(heaps.select("row").join(nodes.select("row", "doc_id", "class"), "row"), "jaccard-nodes")
     links = _join_heaps(heaps, _arrays_of(wanted, texts, size), percent)
 
     linked = components(links)
     ids = sets.filter("class is not null").select("row", "doc_id", "class").join(classes.select("class", "node"), "class")
-    ids = materialize(ids.join(linked, "node", "left").select("row", "doc_id", F.coalesce("component", "node").alias("component")))
+    ids = land(ids.join(linked, "node", "left").select("row", "doc_id", F.coalesce("component", "node").alias("component")), "jaccard-ids")
     smallest = ids.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named = ids.join(smallest, "component").select("row", "component_id")
     every = sets.select("row", "doc_id", F.col("n").alias("n_shingles")).join(named, "row", "left")
