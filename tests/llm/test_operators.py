@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from corpusweave.llm import jaccard
+from corpusweave.llm import jaccard, language_model
 from corpusweave.llm.encoding import tokenizer_path
 from corpusweave.llm.exact_dedup import exact_duplicates
 from corpusweave.llm.language_model import held_out, score_texts
@@ -182,6 +182,15 @@ def test_language_model(docs, rows_of, none):
     assert score_texts(none).count() == 0
 
 
+def test_language_model_knows_rarer_continuations(docs, monkeypatch):
+    monkeypatch.setattr(language_model, "ROUNDS", 0)  # weights as they begin, the counts alone differ
+    whole = {(r.doc_id, r.n_tokens): r.score for r in score_texts(docs).collect()}
+    monkeypatch.setattr(language_model, "MOST_EDGES", 40)
+    monkeypatch.setattr(language_model, "MOST_STARTS", 20, raising=False)
+    found = {(r.doc_id, r.n_tokens): r.score for r in score_texts(docs).collect()}
+    assert found.keys() == whole.keys() and all(abs(found[k] - x) < 1e-6 * abs(x) for k, x in whole.items())
+
+
 def test_warc(spark):
     rows = [(3, "http://a/b c?d", "<p>x</p>"), (1, "http://a/\r\nb", "<p>x</p>"), (1, "http://a/\r\nb", "<p>x</p>"), (2, None, None), (5, "http://[", ""), (None, "u", "é"), (7, "u", "same but\r\n\r\nnot")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
