@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
+from corpusweave.llm import attention as net
 from corpusweave.llm import jaccard, language_model
 from corpusweave.llm.encoding import tokenizer_path
 from corpusweave.llm.exact_dedup import exact_duplicates
@@ -191,6 +192,24 @@ def test_language_model_knows_rarer_continuations(docs, monkeypatch):
     assert found.keys() == whole.keys() and all(abs(found[k] - x) < 1e-6 * abs(x) for k, x in whole.items())
 
 
+def test_language_model_reads_every_window_in_one_round():
+    lengths = np.array([1, 700, 5000, 48, 96000])
+    names = np.array([5, -7, 9, 1 << 62, -(1 << 62)])
+    text, at = net.windows(lengths)
+    found = language_model.turns(names, text, at)
+    assert set(found.tolist()) == set(range(language_model.ROUNDS)) and np.bincount(found.astype(int)).min() > len(at) / 4
+    alone = np.concatenate([language_model.turns(names[[t]], np.zeros((text == t).sum(), int), at[text == t]) for t in range(5)])
+    assert (found == alone).all()  # not by the rows around it
+
+
+def test_language_model_learns_from_few_windows(spark, monkeypatch):
+    rows = spark.createDataFrame([(1, "one short text")], "doc_id long, text string")
+    assert not held_out(1)
+    learnt = score_texts(rows).first().score
+    monkeypatch.setattr(language_model, "ROUNDS", 0)
+    assert score_texts(rows).first().score != learnt
+
+
 def test_warc(spark):
     rows = [(3, "http://a/b c?d", "<p>x</p>"), (1, "http://a/\r\nb", "<p>x</p>"), (1, "http://a/\r\nb", "<p>x</p>"), (2, None, None), (5, "http://[", ""), (None, "u", "é"), (7, "u", "same but\r\n\r\nnot")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
