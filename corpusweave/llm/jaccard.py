@@ -9,8 +9,8 @@ The order here puts frequent shingles last, so a passage that many documents sha
 tile together. Equal sets are one class throughout. What passes the bit bound in a tile hangs
 together in heaps, each set in one. A heap is dealt out in sides of bounded size, twice, and each
 side joins what it can by exact comparison. What then does not belong to a heap's largest
-component, commonly little, is shown to every side. So no component is missed, and no pair
-inside one is needed."""
+component is dealt in sides of its own, and each of these meets every other side in a task of
+two. So no component is missed, and no pair inside one is needed."""
 
 from __future__ import annotations
 
@@ -311,7 +311,7 @@ def _join_heaps(heaps: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
     links = None
 
     def joined(dealt: DataFrame) -> DataFrame:
-        full = dealt.join(arrays, "row").select(F.col("heap").alias("tile"), F.col("side").alias("i"), F.lit(0).alias("j"), (F.octet_length("data") / 8).cast("bigint").alias("n"), "row", "component", "data")
+        full = dealt.join(arrays, "row").select(F.col("heap").alias("tile"), "i", "j", (F.octet_length("data") / 8).cast("bigint").alias("n"), "row", "component", "data")
         found = _dealt(full, percent, exact=True)
         return land(found if links is None else links.unionByName(found), "jaccard-links")
 
@@ -323,17 +323,21 @@ def _join_heaps(heaps: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
 
     for deal in (1, 2):
         labelled = members.withColumn("component", F.col("row")) if links is None else parted(members)
-        dealt = labelled.withColumn("side", F.pmod(F.xxhash64("row", F.lit(deal)), F.col("sides")).cast("int"))
-        links = joined(dealt)
+        links = joined(labelled.withColumn("i", F.pmod(F.xxhash64("row", F.lit(deal)), F.col("sides")).cast("int")).withColumn("j", F.lit(0)))
         members = members.filter("sides > 1")  # one side has seen all its pairs
         if members.isEmpty():
             return links
     rest = land(parted(members), "jaccard-rest")
-    largest = rest.groupBy("heap", "component").agg(F.count(F.lit(1)).alias("rows")).groupBy("heap").agg(F.max_by("component", F.struct("rows", "component")).alias("largest"))
-    rest = rest.join(largest, "heap")
-    own = F.array(F.pmod(F.xxhash64("row"), F.col("sides")).cast("int"))
-    everywhere = F.sequence(F.lit(0), F.col("sides") - 1)
-    return joined(rest.withColumn("side", F.explode(F.when(F.col("component") == F.col("largest"), own).otherwise(everywhere))))
+    parts = rest.groupBy("heap", "component").agg(F.count(F.lit(1)).alias("rows")).groupBy("heap")
+    parts = parts.agg(F.max_by("component", F.struct("rows", "component")).alias("largest"), F.max("rows").alias("inside"), F.sum("rows").alias("all"))
+    apart, sides = F.ceil((F.col("all") - F.col("inside")) / SIDE).cast("int"), F.ceil(F.col("inside") / SIDE).cast("int")
+    rest = rest.drop("sides").join(parts.select("heap", "largest", apart.alias("apart"), sides.alias("sides")), "heap")
+    # sides of rows outside the largest component come first; the others need not meet each other
+    inside, draw = F.col("component") == F.col("largest"), F.xxhash64("row")
+    side = F.when(inside, F.col("apart") + F.pmod(draw, F.col("sides"))).otherwise(F.pmod(draw, F.col("apart"))).cast("int")
+    last = F.when(inside, F.col("apart")).otherwise(F.col("apart") + F.col("sides")) - 1
+    met = rest.withColumn("side", side).withColumn("other", F.explode(F.sequence(F.lit(0), last))).filter("side <> other")
+    return joined(met.withColumn("i", F.least("side", "other")).withColumn("j", F.greatest("side", "other")))
 
 
 def similar_documents(docs: DataFrame, size: int = SHINGLE, percent: int = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

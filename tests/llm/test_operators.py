@@ -10,6 +10,7 @@ from tokenizers import Tokenizer
 
 from corpusweave.llm import attention as net
 from corpusweave.llm import jaccard, language_model
+from corpusweave.llm.components import components
 from corpusweave.llm.encoding import tokenizer_path
 from corpusweave.llm.exact_dedup import exact_duplicates
 from corpusweave.llm.language_model import held_out, score_texts
@@ -167,6 +168,24 @@ def test_quality_on_held_out_labels(spark):
     assert sum(right) >= 0.97 * len(right)
 
 
+def test_heaps_of_few_links(spark, monkeypatch):
+    """Most of a heap stays apart: links are found, and no task gets much more than two sides."""
+    monkeypatch.setattr(jaccard, "SIDE", 16)
+    draw, dealt = np.random.default_rng(1), []
+    sets = [np.sort(draw.integers(0, 1 << 63, 40).astype(np.uint64)) for _ in range(200)]
+    alike = [(3, 150), (150, 77), (20, 21), (98, 199)]
+    for a, b in alike:
+        sets[b] = np.sort(np.append(sets[a][1:], np.uint64(b)))
+    heaps = spark.createDataFrame([(i, 0) for i in range(200)], "row bigint, heap bigint")
+    arrays = spark.createDataFrame([(i, bytearray(x.tobytes())) for i, x in enumerate(sets)], "row bigint, data binary")
+    deal = jaccard._dealt
+    monkeypatch.setattr(jaccard, "_dealt", lambda rows, *rest, **named: dealt.append(rows.groupBy("tile", "i", "j").count().agg({"count": "max"}).first()[0]) or deal(rows, *rest, **named))
+    links = jaccard._join_heaps(heaps, arrays, 80)
+    found = {r.node: r.component for r in components(links).collect()}
+    assert found == {3: 3, 77: 3, 150: 3, 20: 20, 21: 20, 98: 98, 199: 98}
+    assert len(dealt) == 3 and max(dealt) < 5 * 16
+
+
 def test_language_model(docs, rows_of, none):
     found = sorted(score_texts(docs).collect(), key=lambda r: (str(r.doc_id), r.n_tokens))
     counts, train = collections.Counter(), 0
