@@ -179,7 +179,8 @@ def _pairs_and_tiles(batches: Iterator[pa.RecordBatch], percent: int) -> Iterato
         member = np.flatnonzero(size > SMALL_TILE)
         if keep < cut:  # the last row has been counted in, and goes on only as neighbour
             member = member[member < keep]
-        large = done_g[-1] if going_on else None
+        if cut:  # else the tile that was passed on in part may still go on
+            large = done_g[-1] if going_on else None
         carry = [x[keep:] for x in (g, n, row)]
         kinds = np.concatenate([np.zeros(pairs.shape[1], np.int32), np.ones(len(member), np.int32)])
         return pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(np.concatenate([pairs[0], done_g[member]])), pa.array(np.concatenate([pairs[1], done_row[member]]))], ["kind", "a", "b"])

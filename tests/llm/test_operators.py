@@ -5,6 +5,7 @@ import hashlib
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -168,6 +169,20 @@ def test_quality_on_held_out_labels(spark):
     assert sum(right) >= 0.97 * len(right)
 
 
+def test_tiles_in_batches_of_every_size(monkeypatch):
+    monkeypatch.setattr(jaccard, "HELD", 10)
+    tiles = {2: 3, 5: 30, 6: 8, 7: 1, 9: 9, 11: 27}
+    g = np.concatenate([np.full(n, k) for k, n in tiles.items()])
+    row = np.arange(len(g)) + 100
+    table = pa.RecordBatch.from_arrays([pa.array(g), pa.array(np.full(len(g), 50)), pa.array(row)], ["g", "n", "row"])
+    expected = {(1, int(k), int(r)) for k, r in zip(g, row, strict=True) if tiles[k] > 8}
+    expected |= {(0, int(a), int(b)) for i, a in enumerate(row) for j, b in enumerate(row) if a < b and g[i] == g[j] and tiles[g[i]] <= 8}
+    for size in range(1, len(g) + 1):
+        parts = jaccard._pairs_and_tiles(iter([table.slice(lo, size) for lo in range(0, len(g), size)]), 80)
+        found = [tuple(r.values()) for part in parts for r in part.to_pylist()]
+        assert len(found) == len(set(found)) and set(found) == expected, size
+
+
 def test_heaps_of_few_links(spark, monkeypatch):
     """Most of a heap stays apart: links are found, and no task gets much more than two sides."""
     monkeypatch.setattr(jaccard, "SIDE", 16)
