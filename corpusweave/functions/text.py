@@ -21,8 +21,12 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
 
-#: A token: no character that Unicode or ASCII control codes count as white space.
-WORD = r"[^\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
+#: A token: no character that Unicode or ASCII control codes count as white space. Stated as the
+#: ranges that are left, printable ASCII first: a negated class of many ranges costs several times as much.
+WORD = (
+    r"[!-~\x00-\x08\x0e-\x1b\x7f-\x84\x86-\x9f\xa1-\u167f\u1681-\u1fff\u200b-\u2027"
+    r"\u202a-\u202e\u2030-\u205e\u2060-\u2fff\u3001-\x{10ffff}]+"
+)
 
 
 def words(value) -> Column:
