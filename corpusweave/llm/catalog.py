@@ -11,6 +11,8 @@ from ..session import spread
 from .exact_dedup import exact_duplicates
 from .jaccard import similar_documents
 from .language_model import score_texts
+from .license_scan import find_notices, license_digest
+from .merkle import merkle_manifest
 from .mixing import mix_sources
 from .packing import pack_documents
 from .quality import score_quality, train_quality
@@ -18,6 +20,7 @@ from .sharding import shard_by_bytes
 from .token_counts import count_tokens
 from .token_files import read_token_files, write_token_files
 from .warc import read_captures, write_archives
+from .whitening import whiten
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -159,3 +162,72 @@ FROM sharded"""
 @_query("op10_shard_by_bytes", _SHARDS)
 def _(spark, sf_dir):
     return shard_by_bytes(_table(spark, sf_dir, "documents"))
+
+
+@_query("op11_license_scan")
+def _(spark, sf_dir):
+    return license_digest(find_notices(_table(spark, sf_dir, "documents")))
+
+
+# nodes level by level, proofs by looking siblings up, folds level by level
+_MERKLE = """
+WITH RECURSIVE rows AS (
+  SELECT *, (n_chars IS NOT NULL AND 7 * (crc // 7) = crc) AS struck FROM (
+    SELECT d.*, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT,
+        [ascii(c)::BIGINT FOR c IN string_split(doc_id::VARCHAR, '')]),
+      lambda a, b: xor(a >> 8, entries[(xor(a, b) & 255) + 1]))) AS crc
+    FROM documents d, (
+      WITH RECURSIVE steps AS (
+        SELECT i AS byte, i::BIGINT AS c, 0 AS k FROM range(256) t(i)
+        UNION ALL SELECT byte, CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, k + 1 FROM steps WHERE k < 8)
+      SELECT list(c ORDER BY byte) AS entries FROM steps WHERE k = 8))),
+fields AS (
+  SELECT doc_id, lang, struck, n_chars,
+    [coalesce(strlen(f) || ':' || f, '-') FOR f IN [doc_id::VARCHAR, source, lang]] AS head,
+    coalesce(strlen(text) || ':' || text, '-') AS tail FROM rows),
+leaves AS (
+  SELECT doc_id, lang,
+    sha256(array_to_string(head, '') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') || tail) AS leaf,
+    CASE WHEN struck THEN sha256(array_to_string(head, '') || strlen((n_chars + 1)::VARCHAR) || ':' || (n_chars + 1) || tail) END AS other
+  FROM fields),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+    dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree FROM leaves),
+nodes AS (
+  SELECT tree, 0 AS level, pos AS idx, leaf AS h, count(*) OVER (PARTITION BY tree) AS n FROM placed
+  UNION ALL
+  SELECT DISTINCT tree, level + 1, idx // 2, sha256(string_agg(h, '' ORDER BY idx) OVER (PARTITION BY tree, idx // 2)),
+    (n + 1) // 2 FROM nodes WHERE n > 1),
+subroots AS (SELECT tree, h AS subroot, level AS height FROM nodes WHERE n = 1),
+tops AS (
+  SELECT 0 AS level, tree AS idx, subroot AS h, count(*) OVER () AS n FROM subroots
+  UNION ALL
+  SELECT DISTINCT level + 1, idx // 2, sha256(string_agg(h, '' ORDER BY idx) OVER (PARTITION BY idx // 2)), (n + 1) // 2 FROM tops WHERE n > 1),
+root AS (SELECT h AS root, level AS top_height FROM tops WHERE n = 1),
+steps AS (
+  SELECT p.tree, p.pos, k AS step, s.h AS sibling, (p.pos >> k) & 1 AS right_side
+  FROM placed p JOIN subroots r USING (tree), range(64) t(k)
+  LEFT JOIN nodes s ON s.tree = p.tree AND s.level = k AND s.idx = xor(p.pos >> k, 1) WHERE k < r.height
+  UNION ALL
+  SELECT p.tree, p.pos, r.height + k, s.h, (p.tree >> k) & 1
+  FROM placed p JOIN subroots r USING (tree), root, range(64) t(k)
+  LEFT JOIN tops s ON s.level = k AND s.idx = xor(p.tree >> k, 1) WHERE k < top_height),
+proofs AS (SELECT tree, pos, sha256(coalesce(string_agg(sibling, '' ORDER BY step), '')) AS proof_sha256 FROM steps GROUP BY tree, pos),
+folds AS (
+  SELECT tree, pos, 0 AS step, coalesce(other, leaf) AS h FROM placed
+  UNION ALL
+  SELECT f.tree, f.pos, f.step + 1, sha256(CASE WHEN right_side = 1 THEN coalesce(sibling, '') || h ELSE h || coalesce(sibling, '') END)
+  FROM folds f JOIN steps s ON s.tree = f.tree AND s.pos = f.pos AND s.step = f.step)
+SELECT doc_id, leaf, subroot, root, coalesce(proof_sha256, sha256('')) AS proof_sha256, f.h AS folded_root, f.h = root AS verified
+FROM placed p JOIN subroots r USING (tree) CROSS JOIN root LEFT JOIN proofs q USING (tree, pos)
+JOIN folds f ON f.tree = p.tree AND f.pos = p.pos AND f.step = r.height + top_height"""
+
+
+@_query("op12_merkle_manifest", _MERKLE)
+def _(spark, sf_dir):
+    return merkle_manifest(_table(spark, sf_dir, "documents"))
+
+
+@_query("op13_whitening")
+def _(spark, sf_dir):
+    return whiten(_table(spark, sf_dir, "embeddings"))
