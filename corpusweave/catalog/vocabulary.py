@@ -101,12 +101,32 @@ def _codes(spark, sf, n):
     return bpe.learn_bpe(counts, n)
 
 
-@query("learn_bpe")
+def _bpe_sql(merges: int) -> str:
+    """`state`: after each merge, every word with two blanks between its symbols and one around."""
+    return f"""words AS (SELECT token AS word, count(*) AS c FROM (SELECT unnest({sql_words('text')}) AS token FROM documents) GROUP BY token),
+state AS (
+  SELECT 0 AS step, NULL::VARCHAR AS l, NULL::VARCHAR AS r, NULL::BIGINT AS n, word, ' ' || array_to_string(string_split(word, ''), '  ') || '</w> ' AS s, c FROM words
+  UNION ALL
+  SELECT step + 1, t.l, t.r, t.n, word, replace(s, ' ' || t.l || '  ' || t.r || ' ', ' ' || t.l || t.r || ' '), c
+  FROM state, (
+    SELECT p.l AS l, p.r AS r, sum(c)::BIGINT AS n
+    FROM (SELECT unnest(list_transform(list_zip(x[:-2], x[2:]), lambda z: struct_pack(l := z[1], r := z[2]))) AS p, c
+          FROM (SELECT string_split(trim(s, ' '), '  ') AS x, c FROM state)) GROUP BY ALL
+    ORDER BY n DESC, l, r LIMIT 1) t
+  WHERE step < {merges})"""
+
+
+@query("learn_bpe", f"""WITH RECURSIVE {_bpe_sql(200)}
+SELECT DISTINCT (step - 1)::INT AS rank, l AS "left", r AS "right", n AS count FROM state WHERE step > 0""")
 def _(spark, sf):
-    return _codes(spark, sf, 60)
+    return _codes(spark, sf, 200)
 
 
-@query("apply_bpe")
+@query("apply_bpe", f"""WITH RECURSIVE {_bpe_sql(30)},
+pieces AS (SELECT word, replace(regexp_replace(trim(s, ' '), '</w>$', ''), '  ', '@@ ') AS piece FROM state WHERE step = 30),
+placed AS (SELECT doc_id, unnest(tokens) AS word, generate_subscripts(tokens, 1) AS i FROM (SELECT doc_id, {sql_words('text')} AS tokens FROM documents))
+SELECT d.doc_id, coalesce(t.text, '') AS text FROM documents d
+LEFT JOIN (SELECT doc_id, string_agg(piece, ' ' ORDER BY i) AS text FROM placed JOIN pieces USING (word) GROUP BY doc_id) t USING (doc_id)""")
 def _(spark, sf):
     return bpe.apply_bpe(doc_tokens(spark, sf), "doc_id", "tokens", _codes(spark, sf, 30))
 

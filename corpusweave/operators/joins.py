@@ -8,8 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import id_from_class_name, words
-from ..session import hint_if_small, materialize
+from ..functions.text import id_from_class_name
+from .containment import contains_join, select_specific  # noqa: F401  part of this module's interface
 
 
 def join_tests(tests: DataFrame, functions: DataFrame, class_column: str = "TARGET_CLASS", func_id: str = "func_id") -> DataFrame:
@@ -17,95 +17,6 @@ def join_tests(tests: DataFrame, functions: DataFrame, class_column: str = "TARG
     return tests.withColumn(func_id, id_from_class_name(class_column)).join(functions, func_id)
 
 
-# --- containment join -------------------------------------------------------------------
-
-
-def _pieces(word: Column, size: int) -> Column:
-    """Distinct character pieces of one size of a word."""
-    return F.array_distinct(
-        F.when(
-            F.length(word) >= size,
-            F.transform(F.sequence(F.lit(1), F.length(word) - size + 1), lambda i: F.substring(word, i, F.lit(size))),
-        ).otherwise(F.array().cast("array<string>"))
-    )
-
-
-PIECE = 4
-
-
-def _by_inner_word(tokens: DataFrame, row_id: str, named: DataFrame, snippet_id: str) -> DataFrame:
-    """Candidates for snippets of three or more words. Their inner words are whole words of
-    any containing text; the one in the fewest rows is the block key."""
-    inner = named.filter(F.size("__inner") > 0).select(snippet_id, F.explode("__inner").alias("__word"))
-    wanted = hint_if_small(inner.select("__word").distinct())
-    frequency = tokens.join(wanted, "__word", "left_semi").groupBy("__word").agg(F.count(F.lit(1)).alias("__df"))
-    counted = inner.join(frequency, "__word", "left").withColumn("__df", F.coalesce("__df", F.lit(0)))
-    # one small row per snippet, fixed so that the size check does not count words again
-    rarest = materialize(counted.groupBy(snippet_id).agg(F.min_by("__word", F.struct("__df", "__word")).alias("__word")))
-    return tokens.join(hint_if_small(rarest), "__word").select(row_id, snippet_id)
-
-
-def _by_part_of_word(tokens: DataFrame, row_id: str, named: DataFrame, snippet_id: str) -> DataFrame:
-    """Candidates for snippets of one or two words: some word of the text must contain the
-    snippet's longest word. Matching runs on distinct words, blocked by character pieces."""
-    words_of = F.filter("__words", lambda t: t != "")
-    longest = F.try_element_at(F.array_sort(F.transform(words_of, lambda t: F.struct(F.length(t).alias("n"), t.alias("t")))), F.lit(-1))["t"]
-    part = named.filter((F.size("__inner") == 0) & (F.size(words_of) > 0)).select(snippet_id, longest.alias("__part"))
-    vocabulary = tokens.select("__word").distinct()
-    sizes = F.least(F.length("__part"), F.lit(PIECE))
-    parts = part.select("__part").distinct().withColumns({"__size": sizes, "__piece": F.substring(F.col("__part"), F.lit(1), sizes)})
-    pieces = F.flatten(F.array(*[
-        F.transform(_pieces(F.col("__word"), n), lambda p: F.struct(p.alias("__piece"), F.length(p).alias("__size")))
-        for n in range(1, PIECE + 1)
-    ]))
-    blocks = vocabulary.select("__word", F.inline(pieces))
-    hits = blocks.join(hint_if_small(parts), ["__piece", "__size"]).filter(F.col("__word").contains(F.col("__part")))
-    matches = hits.select("__word", "__part").join(part, "__part").select("__word", snippet_id)
-    return tokens.join(matches, "__word").select(row_id, snippet_id).distinct()
-
-
-def contains_join(
-    df: DataFrame, row_id: str, text: str, snippets: DataFrame, snippet_id: str, snippet: str
-) -> DataFrame:
-    """All (row, snippet) pairs where the row's text contains the snippet.
-
-    Candidates come from equi-joins on words, without any text, and are verified on the full
-    text, so the result equals the nested loop. Snippets without any word (blanks only) are
-    few and meet every row."""
-    split = F.split(F.col(snippet), r"\s+")
-    inner = F.slice(split, F.lit(2), F.greatest(F.size(split) - 2, F.lit(0)))
-    named = snippets.select(
-        snippet_id, F.col(snippet).alias("__snippet"), split.alias("__words"),
-        F.array_distinct(F.filter(inner, lambda t: t != "")).alias("__inner"),
-    )
-    tokens = df.select(row_id, F.explode(F.array_distinct(words(text))).alias("__word"))
-    kinds = named.agg(
-        F.max(F.size("__inner") > 0).alias("long"),
-        F.max((F.size("__inner") == 0) & ~F.col("__snippet").rlike(r"^\s*$")).alias("short"),
-        F.max(F.col("__snippet").rlike(r"^\s*$")).alias("blank"),
-    ).first()
-    found = []
-    if kinds["long"]:
-        found.append(_by_inner_word(tokens, row_id, named, snippet_id))
-    if kinds["short"]:
-        found.append(_by_part_of_word(tokens, row_id, named, snippet_id))
-    if kinds["blank"]:
-        blank = named.filter(F.col("__snippet").rlike(r"^\s*$")).select(F.lit("").alias("__word"), snippet_id)
-        found.append(df.select(row_id, F.lit("").alias("__word")).join(hint_if_small(blank), "__word").select(row_id, snippet_id))
-    if not found:  # no snippets at all
-        found.append(_by_inner_word(tokens, row_id, named, snippet_id))
-    candidates = reduce(DataFrame.unionByName, found)
-    pairs = candidates.join(named.select(snippet_id, "__snippet"), snippet_id).join(df, row_id)
-    return pairs.filter(F.col(text).contains(F.col("__snippet"))).drop("__snippet")
-
-
-def select_specific(df: DataFrame, row_id: str, text: str, ids: DataFrame, id_key: str, id_text: str) -> DataFrame:
-    """For each wanted id the first row whose text contains it."""
-    hits = contains_join(df.select(row_id, text), row_id, text, ids, id_key, id_text)
-    first = hits.groupBy(id_key).agg(F.min(row_id).alias(row_id))
-    return first.join(df, row_id)
-
-
 # --- token and lookup joins -------------------------------------------------------------
 
 

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -100,6 +102,25 @@ def test_contains_join_equals_nested_loop(spark):
     assert none.count() == 0
 
 
+@pytest.mark.parametrize("group_bytes", [1 << 20, 6])
+def test_contains_join_of_any_group_size(spark, group_bytes):
+    texts = [(0, "abc abcd", 1), (1, None, 2), (2, "", 3), (3, "été x", 4), (4, "ab" * 3000, 5), (None, "abc", 6), (0, "abc abcd", 1)]
+    snippets = [(10, "abc"), (11, "abc"), (12, ""), (13, None), (14, "té"), (15, "bc abc"), (16, "ba"), (17, "abab" * 50), (18, "")]
+    a = spark.createDataFrame(texts, "id long, text string, n int")
+    b = spark.createDataFrame(snippets, "sid long, snippet string")
+    found = joins.contains_join(a, "id", "text", b, "sid", "snippet", group_bytes)
+    assert found.columns == ["id", "sid", "text", "n"]
+    expected = [(i, j, t, n) for i, t, n in texts for j, s in snippets if t is not None and s is not None and s in t]
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(expected, key=str)
+
+
+def test_contains_join_reads_texts_once_and_moves_none(spark):
+    a = spark.createDataFrame([(1, "a b")], "id long, text string")
+    b = spark.createDataFrame([(1, "b"), (2, " ")], "sid long, snippet string")
+    plan = joins.contains_join(a, "id", "text", b, "sid", "snippet")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Exchange" not in plan and "Join" not in plan
+
+
 def test_append_next_token(spark):
     prefixes = spark.createDataFrame([(0, "a", "src"), (1, None, "src"), (2, "b", "src"), (3, None, "src"), (4, "c", None)], "i int, p string, s string")
     tokens = spark.createDataFrame([(0, "x"), (1, "y"), (2, None), (3, None), (4, "z")], "i int, t string")
@@ -225,6 +246,34 @@ def test_learn_bpe_equals_one_merge_at_a_time(spark, counts):
     assert learned == learn_by_hand(counts, 25)
 
 
+@pytest.mark.parametrize("alphabet, words, merges, candidates", [("ab", 60, 40, 500), ("abc<w>/", 80, 40, 40), ("etaoinsh", 600, 120, 500)])
+def test_learn_bpe_in_batches(spark, alphabet, words, merges, candidates):
+    draw = random.Random(1)
+    counts = {}
+    for _ in range(words):
+        word = "".join(draw.choice(alphabet) for _ in range(draw.randint(1, 9)))
+        counts[word] = counts.get(word, 0) + draw.choice([1, 1, 2, 5])
+    df = spark.createDataFrame(list(counts.items()), "word string, count long")
+    learned = [(r.left, r.right, r["count"]) for r in bpe.learn_bpe(df, merges, candidates=candidates).orderBy("rank").collect()]
+    assert learned == learn_by_hand(counts, merges)
+
+
+def test_learn_bpe_of_few_words(spark):
+    df = spark.createDataFrame([("a", 5), ("", 2), ("ab", 1)], "word string, count long")
+    assert [tuple(r) for r in bpe.learn_bpe(df, 9).collect()] == [(0, "a", "b</w>", 1)]
+    assert bpe.learn_bpe(df.limit(0), 9).count() == 0
+
+
+def test_apply_bpe_joins_codes_of_any_number(spark):
+    draw = random.Random(2)
+    words = ["".join(draw.choice("abcd") for _ in range(draw.randint(1, 12))) for _ in range(200)]
+    codes = bpe.learn_bpe(spark.createDataFrame([(w, 1) for w in set(words)], "word string, count long"), 40)
+    rows = [(i, [draw.choice(words) for _ in range(draw.randint(0, 20))]) for i in range(30)] + [(90, ["", None, "zz"]), (91, None), (92, [words[0]] * 500), (0, ["dup"])]
+    df = spark.createDataFrame(rows, "id int, t array<string>")
+    shared, joined = (sorted(map(tuple, bpe.apply_bpe(df, "id", "t", codes, most).collect()), key=str) for most in (1 << 20, 0))
+    assert shared == joined and len(shared) == len(rows)
+
+
 def test_apply_bpe(spark):
     codes = spark.createDataFrame([("l", "o", 0), ("lo", "w</w>", 1)], "left string, right string, rank int")
     df = spark.createDataFrame([(1, ["low", "lows"]), (2, []), (3, ["", None])], "id int, t array<string>")
