@@ -7,6 +7,7 @@ pair give delta counts, so the shuffle of a round grows with what it changes, no
 from __future__ import annotations
 
 import heapq
+import math
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
@@ -329,7 +330,7 @@ def _segment(word: str, ranks: dict) -> str:
         return word
     symbols = [*word[:-1], word[-1] + END]
     while len(symbols) > 1:
-        best = min(zip(symbols, symbols[1:]), key=lambda p: ranks.get(p, len(ranks)))
+        best = min(zip(symbols, symbols[1:]), key=lambda p: ranks.get(p, math.inf))
         if best not in ranks:
             break
         merged, i = [], 0
