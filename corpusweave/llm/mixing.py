@@ -11,9 +11,9 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.ordering import with_row_index, with_running
 from ..session import land
 from .common import WORD, input_columns, lookup
+from .ranks import running_sums
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -30,10 +30,10 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most
     times its source's size and the excess goes to the others by weight: sources are capped in
     order of size per weight until the share of the next one fits."""
     sums = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    ranked = with_row_index(sums, [F.col("source").asc_nulls_last()], "rank")
+    ranked = running_sums(sums, [F.col("source").asc_nulls_last()], {}, "rank")
     weight = reduce(lambda c, i: c.when(F.col("rank") % len(weights) == i, weights[i]), range(1, len(weights)), F.when(F.col("rank") % len(weights) == 0, weights[0]))
     ranked = ranked.withColumn("weight", weight.cast("long")).withColumn("ratio", F.col("source_size") / F.col("weight"))
-    running = with_running(ranked, ["ratio", "rank"], sums={"size_upto": F.col("source_size"), "weight_upto": F.col("weight")})
+    running = running_sums(ranked, ["ratio", "rank"], {"size_upto": "source_size", "weight_upto": "weight"})
     total, all_weight = running.agg(F.sum("source_size"), F.sum("weight")).first()
     budget = share * (total or 0)
     left = F.lit(budget) - most * (F.col("size_upto") - F.col("source_size"))

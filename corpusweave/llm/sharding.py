@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.ordering import with_running
 from .common import input_columns
+from .ranks import running_sums
 
 LAW = "bytes"
 ROW_BYTES = 8
@@ -30,7 +30,7 @@ def shard_by_bytes(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", te
         (F.coalesce(F.octet_length("text"), F.lit(0)) + ROW_BYTES).cast("long").alias("size"),
         F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"),
     )
-    running = with_running(rows, ["doc_id", "text_crc32", "size"], sums={"upto": F.col("size")}, rank="row_index")
+    running = running_sums(rows, ["doc_id", "text_crc32", "size"], {"upto": "size"}, "row_index")
     total = running.agg(F.max("upto")).first()[0] or 1
     middle = F.col("upto") * 2 - F.col("size")
     placed = running.withColumn("shard", F.expr(f"cast((upto * 2 - size) * {shards} div {2 * total} as int)"))
