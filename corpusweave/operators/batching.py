@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from ..functions.arrays import EOS
 from ..functions.hashing import _col
 from .ordering import with_row_index, with_running
-from .splits import count_batches_bounds
 
 
 def token_batches(df: DataFrame, row_id: str, lengths: list, budget: int) -> DataFrame:
@@ -23,11 +22,12 @@ def token_batches(df: DataFrame, row_id: str, lengths: list, budget: int) -> Dat
 
 def count_batches(df: DataFrame, order: list, batch_size: int) -> DataFrame:
     """`ceil(n / batch_size)` near-equal contiguous batches; the first `n mod k` hold one more."""
-    short, n_long = count_batches_bounds(df.count(), batch_size)
+    n, i = F.col("__n"), F.col("__i")
+    k = F.greatest(F.ceil(n / batch_size), F.lit(1))
+    short, n_long = F.floor(n / k), n % k
     edge = n_long * (short + 1)
-    i = F.col("__i")
-    batch = F.when(i < edge, F.floor(i / (short + 1))).otherwise(n_long + F.floor((i - edge) / max(short, 1)))
-    return with_row_index(df, order, "__i").select(*df.columns, batch.alias("batch"))
+    batch = F.when(i < edge, F.floor(i / (short + 1))).otherwise(n_long + F.floor((i - edge) / F.greatest(short, F.lit(1))))
+    return with_row_index(df, order, "__i", "__n").select(*df.columns, batch.alias("batch"))
 
 
 def pack_stream(df: DataFrame, order: list, ids: str, bptt: int, lanes: int) -> DataFrame:

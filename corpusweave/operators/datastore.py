@@ -22,9 +22,7 @@ def build_datastore(
 
     A target is cut to `min(model max, 3·(source + 2) + 10)` positions whose last is the end
     mark, so every pair ends in exactly one end row."""
-    limit = F.least(F.lit(model_max), 3 * (F.size(words(source)) + 2) + 10)
-    tokens = words(target)
-    body = F.slice(tokens, F.lit(1), F.least(F.size(tokens), limit - 1))
+    body = _body(source, target, model_max)
     kept = [c for c in pairs.columns if c not in {pair_id, source, target, features}]
     rows = pairs.select(
         pair_id, *kept, source, body.alias("__t"), *([features] if features else []),
@@ -79,6 +77,34 @@ def _previous_ids(ids: DataFrame, pair_id: str) -> DataFrame:
     return numbered.join(following, "__n").select(pair_id, "__after")
 
 
+def _body(source: str, target: str, model_max: int) -> Column:
+    """Target tokens that a pair's rows stand for, without the end mark."""
+    tokens = words(target)
+    limit = F.least(F.lit(model_max), 3 * (F.size(words(source)) + 2) + 10)
+    return F.slice(tokens, F.lit(1), F.least(F.size(tokens), limit - 1))
+
+
+def fragment_pairs_of(pairs: DataFrame, source: str = "source", target: str = "target", model_max: int = 512) -> DataFrame:
+    """What `fragment_pairs` gives for the (source, prefix) rows of a datastore, cut by position
+    from the tokens of each pair: a text is split once, not once per row made of it."""
+    tokens = pairs.select(words(source).alias("f"), _body(source, target, model_max).alias("t")).filter(F.size("f") > 0)
+
+    def at(f: Column, t: Column, n: Column) -> Column:
+        short = n <= 4
+        return F.struct(
+            F.when(short, f).otherwise(F.slice(f, F.greatest(n - 3, F.lit(1)), F.lit(8))).alias("f"),
+            F.when(short, F.slice(t, F.lit(1), n)).otherwise(F.slice(t, F.greatest(n - 3, F.lit(1)), F.lit(4))).alias("s"),
+        )
+
+    # prefixes beyond the source's end have nothing to stand against
+    last = F.least(F.size("t"), F.greatest(F.lit(4), F.size("f") + 3))
+    cut = tokens.withColumn("n", F.explode(F.sequence(F.lit(0), last))).select(at(F.col("f"), F.col("t"), F.col("n")).alias("c"))
+    cut = cut.filter(F.size("c.f") > 0)
+    return cut.select(
+        F.array_join("c.f", " ").alias("fail_fragment"), F.array_join("c.s", " ").alias("succ_fragment")
+    ).dropDuplicates()
+
+
 def fragment_pairs(df: DataFrame, fail: str = "fail_input", success: str = "succ_prefix") -> DataFrame:
     """Distinct (fail, success) fragments. Success of up to four tokens: both sides whole;
     longer: its last four tokens and the fail tokens `n−4 … n+3` of the same place."""

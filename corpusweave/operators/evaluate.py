@@ -124,6 +124,12 @@ def _names(ref: DataFrame, hyp: DataFrame, line_id: str, ref_text: str, hyp_text
     )
 
 
+def _counted(names: DataFrame) -> DataFrame:
+    """Distinct (name, candidates) with how often they occur: equal ones are scored once."""
+    plain = F.transform("hyps", lambda h: F.struct(h["beam"].alias("beam"), h["name"].alias("name")))
+    return names.select("name", plain.alias("hyps")).groupBy("name", "hyps").agg(F.count(F.lit(1)).alias("__n"))
+
+
 def _sizes(expected: Column, proposed: Column) -> Column:
     def of(sets: Column) -> Column:
         e, p = sets["e"], sets["p"]
@@ -146,7 +152,7 @@ def _rates(sizes: Column) -> Column:
 
 def subtoken_macro(ref: DataFrame, hyp: DataFrame, line_id: str, ref_text: str, hyp_text: str, beam: str) -> DataFrame:
     """Mean over identifiers of the candidate with the best F1 (the first one on ties)."""
-    names = _names(ref, hyp, line_id, ref_text, hyp_text, F.col(beam))
+    names = _counted(_names(ref, hyp, line_id, ref_text, hyp_text, F.col(beam)))
     scores = let(
         subtokens("name"),
         lambda expected: F.transform(
@@ -155,9 +161,9 @@ def subtoken_macro(ref: DataFrame, hyp: DataFrame, line_id: str, ref_text: str,
         ),
     )
     best = names.select(
-        F.array_max(scores).alias("s"), F.exists("hyps", lambda h: h["name"] == F.col("name")).cast("double").alias("exact")
+        F.array_max(scores).alias("s"), F.exists("hyps", lambda h: h["name"] == F.col("name")).cast("double").alias("exact"), "__n"
     )
-    mean = lambda c: F.coalesce(F.avg(F.coalesce(c, F.lit(0.0))), F.lit(0.0))
+    mean = lambda c: F.coalesce(F.sum(F.coalesce(c, F.lit(0.0)) * F.col("__n")) / F.sum("__n"), F.lit(0.0))
     return best.agg(
         mean(F.col("s.p")).alias("precision"), mean(F.col("s.r")).alias("recall"),
         mean(F.col("s.f")).alias("f1"), mean(F.col("exact")).alias("exact_match"),
@@ -166,10 +172,10 @@ def subtoken_macro(ref: DataFrame, hyp: DataFrame, line_id: str, ref_text: str,
 
 def subtoken_micro(ref: DataFrame, hyp: DataFrame, line_id: str, ref_text: str, hyp_text: str) -> DataFrame:
     """Sums of the set sizes first, then precision, recall and F1."""
-    names = _names(ref, hyp, line_id, ref_text, hyp_text, F.lit(0))
+    names = _counted(_names(ref, hyp, line_id, ref_text, hyp_text, F.lit(0)))
     proposed = F.coalesce(subtokens(F.get("hyps", F.lit(0))["name"]), F.array().cast("array<string>"))
-    totals = names.select(_sizes(subtokens("name"), proposed).alias("s")).agg(
-        F.sum("s.hit").alias("hit"), F.sum("s.proposed").alias("proposed"), F.sum("s.expected").alias("expected")
+    totals = names.select(_sizes(subtokens("name"), proposed).alias("s"), "__n").agg(
+        *[F.sum(F.col(f"s.{c}") * F.col("__n")).alias(c) for c in ("hit", "proposed", "expected")]
     )
     rates = totals.select(
         F.coalesce(_ratio(F.col("hit"), F.col("proposed")), F.lit(0.0)).alias("precision"),
@@ -273,7 +279,7 @@ def _by_threshold(df: DataFrame, label: str, score: str) -> DataFrame:
     counts = df.groupBy(F.col(score).alias("s")).agg(
         F.sum(F.col(label).cast("long")).alias("pos"), F.sum((1 - F.col(label)).cast("long")).alias("neg")
     )
-    return with_running(counts, [F.desc("s")], sums={"tp": F.col("pos"), "fp": F.col("neg")})
+    return with_running(counts, [-F.col("s")], sums={"tp": F.col("pos"), "fp": F.col("neg")})
 
 
 def ranking_scores(df: DataFrame, label: str, score: str) -> DataFrame:

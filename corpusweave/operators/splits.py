@@ -46,26 +46,26 @@ def shuffle(df: DataFrame, seed: int, row_id: str) -> DataFrame:
 
 def split_ordered(df: DataFrame, order: list, fraction: float = 0.6) -> DataFrame:
     """First `int(fraction·n)` rows are `train`, the rest `test`."""
-    cut = int(fraction * df.count())
-    return with_row_index(df, order, "__i").select(
+    cut = F.floor(F.lit(fraction) * F.col("__n"))
+    return with_row_index(df, order, "__i", "__n").select(
         *df.columns, F.when(F.col("__i") < cut, "train").otherwise("test").alias("split")
     )
 
 
 def half(df: DataFrame, order: list, which: int) -> DataFrame:
     """Rows before (`which=1`) or from (`which=2`) position `n // 2`."""
-    cut = df.count() // 2
-    indexed = with_row_index(df, order, "__i")
+    indexed = with_row_index(df, order, "__i", "__n")
+    cut = F.floor(F.col("__n") / 2)
     condition = F.col("__i") < cut if which == 1 else F.col("__i") >= cut
     return indexed.filter(condition).select(*df.columns)
 
 
 def with_worker(df: DataFrame, order: list, world: int) -> DataFrame:
     """Contiguous slices of `n // world` rows; the remainder belongs to nobody (null)."""
-    size = df.count() // world
-    worker = F.floor(F.col("__i") / F.lit(max(size, 1))).cast("int")
+    size = F.floor(F.col("__n") / world)
+    worker = F.floor(F.col("__i") / F.greatest(size, F.lit(1))).cast("int")
     inside = F.col("__i") < size * world
-    return with_row_index(df, order, "__i").select(*df.columns, F.when(inside, worker).alias("worker"))
+    return with_row_index(df, order, "__i", "__n").select(*df.columns, F.when(inside, worker).alias("worker"))
 
 
 def worker_slice(df: DataFrame, order: list, rank: int, world: int) -> DataFrame:
@@ -186,11 +186,3 @@ def weighted_draw(weights: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     size = min(n, weights.count())
     draws = weights.sparkSession.range(size).withColumnRenamed("id", "draw")
     return weighted_choice(draws, weights, key, seed, "draw")
-
-
-def count_batches_bounds(n: int, batch_size: int) -> tuple[int, int]:
-    """Number of rows in the short batches and number of long batches."""
-    k = max(math.ceil(n / batch_size), 1)
-    return n // k, n % k
-
-
