@@ -49,7 +49,7 @@ def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 PAIRS = """pairs AS (
-  SELECT a.conv_id * 1000 + a.turn AS pair_id, a.role || '_' || b.role AS language_pair,
+  SELECT a.conv_id * 1000000 + a.turn AS pair_id, a.role || '_' || b.role AS language_pair,
          a.text AS source, b.text AS target
   FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND a.turn + 1 = b.turn)"""
 
@@ -60,7 +60,7 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations")
     following = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("role").alias("role2"), F.col("text").alias("target"))
     return turns.join(following, ["conv_id", "turn"]).select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("pair_id"),
+        (F.col("conv_id") * 1_000_000 + F.col("turn")).alias("pair_id"),
         F.concat_ws("_", "role", "role2").alias("language_pair"),
         F.col("text").alias("source"),
         "target",

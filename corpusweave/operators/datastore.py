@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.arrays import EOS, UNK
 from ..functions.binding import let
 from ..functions.text import NAME_PREFIXES, format_dictionary, parse_dictionary, words
-from ..session import hint_if_small
+from .vocab import lookup_tokens
 
 END_WORD = "</s>"  # fixed value
 
@@ -32,8 +32,7 @@ def build_datastore(
         pair_id, *kept, "pos", "token", source, prefix.alias("prefix"),
         *([F.get(features, F.col("pos")).alias("key")] if features else []),
     )
-    known = vocab.select("token", F.col("id").alias("__id"))
-    joined = wanted.join(hint_if_small(known, 96), "token", "left")
+    joined = lookup_tokens(wanted, "token", vocab, "__id")
     return joined.withColumn("value", F.coalesce("__id", F.lit(UNK))).drop("__id")
 
 

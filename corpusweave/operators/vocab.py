@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.arrays import EOS, FIRST_SPECIAL, SPECIAL_WORDS, UNK, until_eos
-from ..session import hint_if_small, keep, materialize
+from ..session import hint_if_small, keep, materialize, shuffle_width
 from .ordering import with_row_index
 
 # Base words and the number of placeholders per kind, in id order.
@@ -27,8 +28,10 @@ RESERVED = (
 )
 FIRST_ORDINARY = len(RESERVED)
 VOCAB_SIZE = 64_000
-# A vocabulary up to this size goes to every task; a larger one is joined.
-LOOKUP_LIMIT = 1_000_000
+# A vocabulary of up to so many bytes goes to every task; a larger one is joined.
+LOOKUP_BYTES = 64 << 20
+# Tokens that hold more rows than this share of a partition are looked up apart.
+HEAVY_SHARE = 4
 
 
 SMALL_TOP = 1000
@@ -109,12 +112,13 @@ def _index_arrow(df: DataFrame, row_id: str, tokens: str, rows: list) -> DataFra
     special = FIRST_SPECIAL + SPECIAL_WORDS
 
     def lookup(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = pa.array(table.value[0], pa.string())
-        numbers = pa.array(table.value[1], pa.int32())
+        known = pd.Index(table.value[0], dtype=object)  # hashed once per task
+        numbers = np.array([*table.value[1], UNK], np.int32)  # -1 is the last one
         for batch in batches:
             column = batch.column(1)
-            found = pc.fill_null(numbers.take(pc.index_in(column.flatten().cast(pa.string()), value_set=known)), UNK)
-            found = found.to_numpy(zero_copy_only=False)
+            coded = column.flatten().cast(pa.string()).dictionary_encode()
+            places = known.get_indexer(pd.Index(coded.dictionary.to_pylist(), dtype=object))
+            found = numbers[np.append(places, -1)[pc.fill_null(coded.indices, len(places)).to_numpy(zero_copy_only=False)]]
             keep = (found >= special) | (found == UNK)
             parents = pc.list_parent_indices(column).to_numpy()[keep]
             lengths = np.bincount(parents, minlength=batch.num_rows) + 1
@@ -129,11 +133,40 @@ def _index_arrow(df: DataFrame, row_id: str, tokens: str, rows: list) -> DataFra
     return df.select(row_id, tokens).mapInArrow(lookup, f"`{row_id}` {kind}, ids array<int>")
 
 
+def _small(vocab: DataFrame) -> bool:
+    """Whether the measured bytes of a vocabulary let every task hold it."""
+    size = vocab.agg(F.sum(F.coalesce(F.octet_length("token"), F.lit(0)) + 16)).first()[0] or 0
+    return size <= LOOKUP_BYTES
+
+
+def lookup_tokens(rows: DataFrame, token: str, vocab: DataFrame, value: str) -> DataFrame:
+    """`rows` with the token's vocabulary id as `value`, null for unknown ones.
+
+    A small vocabulary is broadcast. Otherwise tokens that hold more than a fair share of the rows
+    (at most HEAVY_SHARE times as many as there are partitions, known or not) meet their ids by a
+    broadcast, and only the others are shuffled: no partition has to take all rows of a token."""
+    known = vocab.select(F.col("token").alias("__token"), F.col("id").alias(value))
+    same = F.col(token) == F.col("__token")
+    if _small(vocab):
+        return rows.join(F.broadcast(known), same, "left").drop("__token")
+    counts = keep(rows.groupBy(F.col(token).alias("__heavy")).agg(F.count(F.lit(1)).alias("__n")))
+    fair = (counts.agg(F.sum("__n")).first()[0] or 0) / (HEAVY_SHARE * shuffle_width(rows))
+    heavy = counts.filter((F.col("__n") >= fair) & F.col("__heavy").isNotNull()).select("__heavy")
+    heavy = materialize(heavy.join(known, F.col("__heavy") == F.col("__token"), "left").select("__heavy", value))
+    counts.unpersist()
+    names = F.broadcast(heavy.select("__heavy"))
+    often = rows.join(F.broadcast(heavy), F.col(token) == F.col("__heavy")).drop("__heavy")
+    # a null token equals nothing and is spread by its own row
+    seldom = rows.join(names, F.col(token) == F.col("__heavy"), "left_anti")
+    nulls = seldom.filter(F.col(token).isNull()).withColumn(value, F.lit(None).cast(known.schema[value].dataType))
+    plain = seldom.filter(F.col(token).isNotNull()).join(known, same, "left").drop("__token")
+    return often.unionByName(plain).unionByName(nulls)
+
+
 def _index_join(df: DataFrame, row_id: str, tokens: str, vocab: DataFrame) -> DataFrame:
     """For vocabularies too large to hold in a task: join on the token, then re-assemble."""
-    exploded = df.select(row_id, F.posexplode_outer(tokens).alias("__pos", "__token"))
-    known = vocab.select(F.col("token").alias("__token"), F.col("id").alias("__id"))
-    looked = exploded.join(known, "__token", "left").withColumn(
+    exploded = df.select(row_id, F.posexplode_outer(tokens).alias("__pos", "__tok"))
+    looked = lookup_tokens(exploded, "__tok", vocab, "__id").withColumn(
         "__id", F.when(F.col("__pos").isNotNull(), F.coalesce("__id", F.lit(UNK)))
     )
     item = F.when(F.col("__id").isNotNull() & ~_dropped(F.col("__id")), F.struct("__pos", "__id"))
@@ -145,29 +178,30 @@ def _index_join(df: DataFrame, row_id: str, tokens: str, vocab: DataFrame) -> Da
 def index_corpus(df: DataFrame, row_id: str, tokens: str, vocab: DataFrame) -> DataFrame:
     """(row_id, ids): unknown words → 3, special words dropped, end mark appended; an empty
     sentence is `[1]`."""
-    rows = vocab.select("token", "id").limit(LOOKUP_LIMIT + 1).collect()
-    if len(rows) > LOOKUP_LIMIT:
+    if not _small(vocab):
         return _index_join(df, row_id, tokens, vocab)
-    return _index_arrow(df, row_id, tokens, rows)
+    return _index_arrow(df, row_id, tokens, vocab.select("token", "id").collect())
 
 
 def ids_to_text(df: DataFrame, row_id: str, ids: str, vocab: DataFrame) -> DataFrame:
     """Drop the first id, stop at the first end mark, look the rest up, join by blanks. An id
     that the vocabulary lacks gives the unknown word, whatever the vocabulary's size."""
-    rows = vocab.select("id", "token").limit(LOOKUP_LIMIT + 1).collect()
     body = df.select(row_id, until_eos(ids).alias("body"))
-    if len(rows) > LOOKUP_LIMIT:
+    if not _small(vocab):
         exploded = body.select(row_id, F.posexplode_outer("body").alias("__pos", "__id"))
         named = exploded.join(vocab.select(F.col("id").alias("__id"), F.col("token").alias("__token")), "__id", "left")
         grouped = named.groupBy(row_id).agg(F.array_sort(F.collect_list(F.struct("__pos", "__token"))).alias("__t"))
         return grouped.select(row_id, F.array_join(F.transform("__t", lambda s: s["__token"]), " ", UNKNOWN_WORD).alias("text"))
+    rows = vocab.select("id", "token").collect()
     table = df.sparkSession.sparkContext.broadcast(([r["id"] for r in rows], [r["token"] for r in rows]))
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers, words = pa.array(table.value[0], pa.int32()), pa.array(table.value[1], pa.string())
+        numbers, words = pd.Index(table.value[0], dtype="int64"), pa.array([*table.value[1], UNKNOWN_WORD], pa.string())
         for batch in batches:
             column = batch.column(1)
-            found = pc.fill_null(words.take(pc.index_in(column.flatten(), value_set=numbers)), UNKNOWN_WORD)
+            ids = pc.fill_null(column.flatten(), -1).to_numpy(zero_copy_only=False)
+            places = numbers.get_indexer(pd.Index(ids, dtype="int64"))
+            found = words.take(pa.array(np.where(places < 0, len(numbers), places)))
             offsets = pc.subtract(column.offsets, column.offsets[0])
             text = pc.binary_join(pa.ListArray.from_arrays(offsets, found), " ")
             yield pa.RecordBatch.from_arrays([batch.column(0), text], names=[row_id, "text"])

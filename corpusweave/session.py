@@ -16,8 +16,11 @@ BROADCAST_BYTES = 64 * 1024 * 1024
 
 def build_session(app: str = "corpusweave", cores: int | str = "*", **conf: str) -> SparkSession:
     """Local session for tests and benchmarks; a cluster supplies its own session."""
+    # workers import this package from where the driver did, whatever folder it was started in
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
+        .config("spark.executorEnv.PYTHONPATH", os.pathsep.join(filter(None, [root, os.environ.get("PYTHONPATH")])))
         .appName(app)
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.adaptive.enabled", "true")

@@ -185,7 +185,7 @@ def test_vocab_ids(spark):
 @pytest.mark.parametrize("limit", [None, 1])
 def test_index_corpus_edges(spark, monkeypatch, limit):
     if limit:
-        monkeypatch.setattr(vocab, "LOOKUP_LIMIT", limit)  # the join path
+        monkeypatch.setattr(vocab, "LOOKUP_BYTES", limit)  # the join path
     df = spark.createDataFrame([(1, "c zzz a"), (2, ""), (3, "</s> <special0> b"), (4, "VAR_0 <unk>")], "id int, text string")
     indexed = vocab.index_corpus(df.select("id", words("text").alias("t")), "id", "t", small_vocab(spark))
     assert {r.id: r.ids for r in indexed.collect()} == {1: [514, 3, 515, 1], 2: [1], 3: [516, 1], 4: [314, 3, 1]}

@@ -168,3 +168,18 @@ def test_cap_by_tokens(spark, budget, kept):
 def test_replay_buffer_keeps_the_last(spark):
     out = batching.replay_buffer(spark.range(25).withColumnRenamed("id", "seq"), "seq", 10)
     assert sorted(r.seq for r in out.collect()) == list(range(15, 25))
+
+
+def test_heavy_tokens_are_looked_up_apart(spark, monkeypatch):
+    words_ = ["hot"] * 400 + ["odd"] * 300 + [f"w{i}" for i in range(300)] + [None] * 5
+    rows = spark.createDataFrame(list(enumerate(words_)), "n long, word string")
+    known = spark.createDataFrame([("hot", 7), *((f"w{i}", i) for i in range(0, 300, 2))], "token string, id int")
+    expected = {n: 7 if w == "hot" else int(w[1:]) if w and w[0] == "w" and int(w[1:]) % 2 == 0 else None for n, w in enumerate(words_)}
+    small = vocab.lookup_tokens(rows, "word", known, "id")
+    monkeypatch.setattr(vocab, "LOOKUP_BYTES", 0)
+    large = vocab.lookup_tokens(rows, "word", known, "id")
+    for found in (small, large):
+        assert found.columns == ["n", "word", "id"]
+        assert {r.n: r.id for r in found.collect()} == expected and found.count() == len(words_)
+    plan = large._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftAnti" in plan and "strategy=broadcast" in plan

@@ -200,7 +200,7 @@ def test_unknown_ids_read_alike_on_both_paths(spark, monkeypatch):
     known = spark.createDataFrame([(514, "a"), (515, "b")], "id int, token string")
     df = spark.createDataFrame([(1, [1, 514, 900, 515, 1])], "row_id long, ids array<int>")
     small = vocab.ids_to_text(df, "row_id", "ids", known).first()["text"]
-    monkeypatch.setattr(vocab, "LOOKUP_LIMIT", 1)
+    monkeypatch.setattr(vocab, "LOOKUP_BYTES", 1)
     assert small == vocab.ids_to_text(df, "row_id", "ids", known).first()["text"] == "a <unk> b"
 
 

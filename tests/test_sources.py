@@ -105,6 +105,26 @@ def test_ingest_distinct_keeps_one_of_rows_delivered_twice(spark, tmp_path):
     assert sorted((r.id, r.text) for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [(1, "a"), (2, "b")]
 
 
+def test_ingest_distinct_reads_only_new_rows(spark, tmp_path):
+    source = tmp_path / "in"
+    source.mkdir()
+    read = []
+    for batch in range(3):
+        lines_ = [{"id": 10 * batch + i, "lang": "en" if i % 2 else None, "text": f"t{(batch * 3 + i) % 12}" if i else None} for i in range(6)]
+        (source / f"{batch}.json").write_text("".join(json.dumps(x) + "\n" for x in lines_))
+        ingest.ingest_distinct(spark, str(source), f"{tmp_path}/out", f"{tmp_path}/log", "id int, lang string, text string", "text", "id", ["lang"])
+        for log in sorted((tmp_path / "log" / "commits").glob("[0-9]*"))[-1:]:
+            read.append(log.name)
+    rows = spark.read.parquet(f"{tmp_path}/out").collect()
+    expected = {}
+    for batch in range(3):
+        for i in range(6):
+            expected.setdefault(("en" if i % 2 else None, f"t{(batch * 3 + i) % 12}" if i else None), 10 * batch + i)
+    assert {(r.lang, r.text): r.id for r in rows} == expected and len(rows) == len(expected)
+    assert len(set(read)) == 3 and (tmp_path / "log" / "state").exists()
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass", "") != ingest.ROCKS
+
+
 def fake_session(setting, master):
     made = []
     context = SimpleNamespace(master=master, getCheckpointDir=lambda: made[0] if made else None, setCheckpointDir=made.append)
