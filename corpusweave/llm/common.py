@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
-from functools import reduce
+from contextlib import suppress
+from functools import reduce, wraps
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -47,6 +49,28 @@ def lookup(df: DataFrame, table: DataFrame, keys: list[str], how: str = "left")
     return joined if how in ("left_anti", "left_semi") else joined.drop(*[f"__k_{k}" for k in keys])
 
 
+def _give_back() -> None:
+    """Freed memory of this process goes back to the machine: a worker is used again by later
+    stages, and what its allocators keep would add up beside the executor's own memory."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # only the GNU library has this call
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def tidy(work):
+    """An Arrow function (batches, ...) that gives memory back before and after its task."""
+
+    @wraps(work)
+    def run(*args, **named):
+        _give_back()
+        try:
+            yield from work(*args, **named)
+        finally:
+            _give_back()
+
+    return run
+
+
 def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Runs of rows with about `limit` bytes in `column`; one longer text is a run of its own."""
     for batch in batches:

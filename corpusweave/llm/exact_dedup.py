@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import land, materialize
-from .common import input_columns, output_field, text_slices
+from .common import input_columns, output_field, text_slices, tidy
 
 BLOCK_BYTES = 4096
 #: Bytes of blocks that a task remembers; beyond it forgets them, which only costs repeats.
@@ -27,6 +27,7 @@ _LOCAL_BITS = 33
 _NO_NAME = -1
 
 
+@tidy
 def _name_locally(batches: Iterator[pa.RecordBatch], schema: pa.Schema, block_bytes: int) -> Iterator[pa.RecordBatch]:
     """One row per document (row, doc_id, text_sha256, doc; blocks on the first of equal ones)
     and one per new block (name, block). Names are numbers unique over all tasks."""

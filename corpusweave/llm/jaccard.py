@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import land
-from .common import input_columns, lookup, output_field, text_slices, texts_of
+from .common import input_columns, lookup, output_field, text_slices, texts_of, tidy
 from .components import components
 from .textcodes import Texts
 
@@ -61,6 +61,7 @@ def shingle_sets(texts: list[str], size: int = SHINGLE) -> Iterator[np.ndarray]:
         yield np.array([short[i]], np.uint64) if i in short else np.unique(hashes[bounds[i] : bounds[i + 1]])
 
 
+@tidy
 def _count_frequent(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     held, n = [], 0
 
@@ -117,6 +118,7 @@ def _prefix(own: np.ndarray, frequent: np.ndarray, rank: np.ndarray, percent: in
 SETS = "row bigint, doc_id {}, n bigint, class binary, bitmap binary, prefix array<bigint>"
 
 
+@tidy
 def _describe(batches: Iterator[pa.RecordBatch], size: int, percent: int, frequent: np.ndarray) -> Iterator[pa.RecordBatch]:
     """One row per document; bitmap and prefix on the first of equal sets in a task."""
     base = TaskContext.get().partitionId() << _LOCAL_BITS
@@ -145,6 +147,7 @@ def _describe(batches: Iterator[pa.RecordBatch], size: int, percent: int, freque
 TILES = "kind int, a bigint, b bigint"
 
 
+@tidy
 def _pairs_and_tiles(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """From rows (g, n, row) sorted by g and n: all pairs of small tiles (kind 0), and the
     members (kind 1: shingle, row) of larger ones."""
@@ -211,6 +214,7 @@ def _bounded(a: bytes, b: bytes, sizes: int, percent: int) -> bool:
     return bool(_fits(np.int64((sizes - differ) // 2), np.int64(sizes), percent))
 
 
+@tidy
 def _filter_bitmaps(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         columns = [batch.column(c).to_pylist() for c in ("bitmap_a", "bitmap_b", "n_a", "n_b")]
@@ -264,6 +268,7 @@ def _join_side(rows: list[dict], percent: int, exact: bool) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
 
 
+@tidy
 def _join_sides(batches: Iterator[pa.RecordBatch], percent: int, exact: bool) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (tile, i, j, n): each side, or pair of sides, in turn."""
     held: list[dict] = []
@@ -283,6 +288,7 @@ def _dealt(rows: DataFrame, percent: int, exact: bool) -> DataFrame:
     return dealt.sortWithinPartitions("tile", "i", "j", "n", "row").mapInArrow(lambda it: _join_sides(it, percent, exact), "a bigint, b bigint")
 
 
+@tidy
 def _arrays(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     for batch in text_slices(batches):
         sets = [own.tobytes() for own in shingle_sets(texts_of(batch), size)]

@@ -18,11 +18,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import land
-from .common import input_columns, lookup, output_field, text_slices, texts_of
+from .common import input_columns, lookup, output_field, text_slices, texts_of, tidy
 from .encoding import encoder, tokenizer_path
 
 CAPACITY = 4096
 END_ID = 1
+#: Bytes of pieces of text that a worker remembers with their ids.
+CACHE_BYTES = 96 << 20
 
 
 def _companions(counts: dict[int, int], lengths: list[int], room: int) -> dict[int, int]:
@@ -98,9 +100,10 @@ class _Places:
         return self.base[at] + copy, self.offset[at] + slot * length
 
 
+@tidy
 def _pieces(batches: Iterator[pa.RecordBatch], path: str, end_id: int, capacity: int) -> Iterator[pa.RecordBatch]:
     """Pieces of each document, numbered within the task by their length."""
-    own = encoder(path)
+    own = encoder(path, CACHE_BYTES)
     dtype = own.dtype if end_id < 1 << (8 * own.dtype.itemsize) else np.dtype("<u4")
     block = TaskContext.get().partitionId()
     seen = [0] * (capacity + 1)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import shuffle_rank
-from .common import input_columns, output_field, text_slices, texts_of
+from .common import input_columns, output_field, text_slices, texts_of, tidy
 from .textcodes import SEGMENT, Texts, mix, sums_by_doc
 
 MIN_WORDS = 50
@@ -102,6 +102,7 @@ def base_counts(texts: Texts, words: np.ndarray, raw: list[str]) -> dict[str, np
     return {"n_words": texts.n_words, "word_chars": texts.word_chars, "n_symbols": n_symbols, "n_dup_lines": np.array(n_dup_lines), "n_repeat_words": n_repeat}
 
 
+@tidy
 def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Labelled texts as (rank, label, slots, values)."""
     for batch in text_slices(batches):
@@ -159,6 +160,7 @@ def train_quality(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS
     texts = input_columns(docs, doc_id=id_col, text=text_col).join(sample, "doc_id").select("rank", "label", "text")
     found = texts.mapInArrow(_sparse, "rank bigint, label int, slots binary, values binary")
 
+    @tidy
     def fit(batches):
         rows = sorted((r for b in batches for r in b.to_pylist()), key=lambda r: (r["rank"], r["slots"], r["values"]))
         if {r["label"] for r in rows} == {0, 1}:
@@ -192,6 +194,7 @@ def score_quality(docs: DataFrame, model: Model | None, keep_from: float = KEEP_
     none. Other columns are ignored."""
     rows = input_columns(docs, doc_id=id_col, text=text_col)
 
+    @tidy
     def run(batches):
         for batch in text_slices(batches):
             found = _judge(batch, model, keep_from)
@@ -206,6 +209,7 @@ def score_quality(docs: DataFrame, model: Model | None, keep_from: float = KEEP_
 def keep_good(docs: DataFrame, model: Model | None, keep_from: float = KEEP_FROM, text_col: str = "text") -> DataFrame:
     """The rows that `score_quality` keeps, with all their columns."""
 
+    @tidy
     def run(batches):
         for batch in text_slices(batches, text_col):
             yield batch.filter(pa.array(_judge(batch.rename_columns(["text" if c == text_col else f"_{c}" for c in batch.schema.names]), model, keep_from)["kept"]))
