@@ -135,6 +135,7 @@ def _join_digits(value: Column, prefix: str, joint: str) -> Column:
 def repair_spaced_identifiers(value) -> Column:
     """The same repair for byte-level sub-words, where the pieces are split by spaces."""
     out = _col(value)
+    # fixed values: prefixes as byte-level sub-words break them
     for broken, prefix in (("CLASS _ ", "CLASS_"), ("FUN C _ ", "FUNC_"), ("V AR _ ", "VAR_")):
         out = F.replace(out, F.lit(broken), F.lit(prefix))
     for prefix in NAME_PREFIXES:

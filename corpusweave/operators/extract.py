@@ -135,6 +135,7 @@ def _python_spans(tokens) -> list[tuple[int, int]]:
     return spans
 
 
+# Tokens after which a function may start, and annotations that are left out.
 JAVA_STARTS = {";", "}", "{", "*/", "ENDCOM", NEW_LINE, "\n"}
 
 

@@ -123,13 +123,16 @@ def read_vocab(spark: SparkSession, path: str) -> DataFrame:
     return order.select("token", (F.col("rank") + FIRST_ORDINARY).cast("int").alias("id"), "count")
 
 
-def parse_retrieval_dump(df: DataFrame, row_id: str, column: str) -> DataFrame:
-    """(row, pos, source, prefix) from printed `[[array(['source', 'prefix'], …` texts."""
+def parse_retrieval_dump(df: DataFrame, row_id: str, column: str, need_both: bool = False) -> DataFrame:
+    """(row, pos, source, prefix) from printed `[[array(['source', 'prefix'], …` texts. A missing
+    prefix is the empty string; with `need_both`, as for end rows, such entries go."""
+    # fixed values: the printed form of an entry, its quotes and what stands between its parts
     clean = F.replace(F.col(column), F.lit("</s>"), F.lit(""))
     found = F.regexp_extract_all(clean, F.lit(r"(?s)\[\[array\(\[(.*?)\],"), F.lit(1))
     trim = lambda c: F.regexp_replace(c, r"^['\",\s]+|['\",\s]+$", "")
     parts = F.split("__m", r"\",|',|,\",")
     rows = df.select(row_id, F.posexplode(found).alias("pos", "__m")).withColumn("__p", parts)
+    rows = rows.filter(F.size("__p") >= 2) if need_both else rows
     return rows.select(
         row_id, "pos", trim(F.get("__p", F.lit(0))).alias("source"),
         F.coalesce(trim(F.get("__p", F.lit(1))), F.lit("")).alias("prefix"),

@@ -125,6 +125,13 @@ def test_ingest_distinct_reads_only_new_rows(spark, tmp_path):
     assert spark.conf.get("spark.sql.streaming.stateStore.providerClass", "") != ingest.ROCKS
 
 
+def test_end_rows_of_a_dump_need_both_parts(spark):
+    df = spark.createDataFrame([(1, "[[array(['src a', 'pre b'], dtype)], [[array(['alone'], dtype)]")], "n int, dump string")
+    every = {(r.pos, r.source, r.prefix) for r in lines.parse_retrieval_dump(df, "n", "dump").collect()}
+    assert every == {(0, "src a", "pre b"), (1, "alone", "")}
+    assert {r.source for r in lines.parse_retrieval_dump(df, "n", "dump", need_both=True).collect()} == {"src a"}
+
+
 def fake_session(setting, master):
     made = []
     context = SimpleNamespace(master=master, getCheckpointDir=lambda: made[0] if made else None, setCheckpointDir=made.append)
