@@ -19,12 +19,10 @@ from pyspark.sql import functions as F
 
 from ..session import land
 from .common import input_columns, lookup, output_field, text_slices, texts_of, tidy
-from .encoding import encoder, tokenizer_path
+from .encoding import CACHE_BYTES, encoder, tokenizer_path
 
 CAPACITY = 4096
 END_ID = 1
-#: Bytes of pieces of text that a worker remembers with their ids.
-CACHE_BYTES = 96 << 20
 
 
 def _companions(counts: dict[int, int], lengths: list[int], room: int) -> dict[int, int]:
@@ -101,9 +99,9 @@ class _Places:
 
 
 @tidy
-def _pieces(batches: Iterator[pa.RecordBatch], path: str, end_id: int, capacity: int) -> Iterator[pa.RecordBatch]:
+def _pieces(batches: Iterator[pa.RecordBatch], path: str, end_id: int, capacity: int, cache_bytes: int) -> Iterator[pa.RecordBatch]:
     """Pieces of each document, numbered within the task by their length."""
-    own = encoder(path, CACHE_BYTES)
+    own = encoder(path, cache_bytes)
     dtype = own.dtype if end_id < 1 << (8 * own.dtype.itemsize) else np.dtype("<u4")
     block = TaskContext.get().partitionId()
     seen = [0] * (capacity + 1)
@@ -127,19 +125,20 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str, end_id: int, capacity:
         )
 
 
-def pack_documents(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", cache_bytes: int = CACHE_BYTES) -> DataFrame:
     """Return doc_id, piece, start, length, ids_crc32, sequence_id, offset: one row per piece.
 
     A document's ids and one end id are cut into pieces of `capacity` tokens if they are more;
     the last piece may be shorter. Texts and ids do not move: the shuffles hold one narrow row
-    per piece, and the driver sees one count per length.
+    per piece, and the driver sees one count per length. A worker remembers `cache_bytes` of pieces
+    of text with their ids.
 
     Null and empty texts are one end id. Repeated rows and null ids are packed like any other.
     An empty table gives none. Other columns are ignored."""
     path = tokenizer or tokenizer_path("word_bpe_49k.json")
     rows = input_columns(docs, doc_id=id_col, text=text_col)
     ddl = f"doc_id {output_field(rows, 'doc_id')}, piece int, start bigint, length bigint, ids_crc32 bigint"
-    pieces = land(rows.mapInArrow(lambda it: _pieces(it, path, end_id, capacity), ddl + ", block bigint, within bigint"), "pack-pieces")
+    pieces = land(rows.mapInArrow(lambda it: _pieces(it, path, end_id, capacity, cache_bytes), ddl + ", block bigint, within bigint"), "pack-pieces")
     counts = land(pieces.groupBy("length", "block").agg(F.count(F.lit(1)).alias("n")), "pack-counts")
     totals = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # one row per length
     places = _Places(plan_bins(totals, capacity))
