@@ -16,6 +16,9 @@ from corpusweave.llm.quality import keep_good, train_quality
 from corpusweave.session import land, spread
 
 
+PACK_CACHE_BYTES = 64 << 20
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that pass the base rules and the verdict learnt from `labels`."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
@@ -55,8 +58,9 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces and their places in sequences."""
-    return pack_documents(spread(docs))
+    """Token pieces and their places in sequences. Workers of the stages before are used again, so
+    they remember fewer pieces of text than when packing runs alone."""
+    return pack_documents(spread(docs), cache_bytes=PACK_CACHE_BYTES)
 
 
 STAGES = [
