@@ -14,7 +14,8 @@ from ..session import fits_broadcast, hint_if_small, materialize
 
 BLOCK_ROWS = 50_000  # store rows that meet one block of queries in one task
 BLOCK_QUERIES = 50_000
-CHUNK_BYTES = 256 * 1024 * 1024  # largest distance matrix held at once
+CHUNK_BYTES = 16 * 1024 * 1024  # largest distance matrix held at once; a few arrays of its size exist
+PIECE_PAIRS = 1 << 14  # pairs of vectors that are subtracted at once
 RESULT = "query_id bigint, row_id bigint, distance double"
 
 
@@ -28,6 +29,15 @@ def as_matrix(vectors) -> np.ndarray:
     return np.stack([np.asarray(v, dtype=np.float64) for v in vectors]) if len(vectors) else np.empty((0, 0))
 
 
+def _measure(q: np.ndarray, rows: np.ndarray, hit_q: np.ndarray, hit_r: np.ndarray) -> np.ndarray:
+    """Squared distance of each pair. Copies can leave every pair open, so pairs come in pieces."""
+    out = np.empty(len(hit_q))
+    for at in range(0, len(out), PIECE_PAIRS):
+        piece = slice(at, at + PIECE_PAIRS)
+        out[piece] = ((q[hit_q[piece]] - rows[hit_r[piece]]) ** 2).sum(axis=1)
+    return out
+
+
 def block_topk(query_ids, queries, row_ids, rows, k: int) -> pd.DataFrame:
     """The k nearest rows of every query by squared distance, ties by lowest row id.
 
@@ -40,14 +50,18 @@ def block_topk(query_ids, queries, row_ids, rows, k: int) -> pd.DataFrame:
         for start in range(0, len(query_ids), step):
             q, q_ids = queries[start : start + step], query_ids[start : start + step]
             norms = (q**2).sum(axis=1)
-            approx = norms[:, None] + row_norms[None, :] - 2.0 * (q @ rows.T)
+            approx = q @ rows.T
+            approx *= -2.0
+            approx += row_norms
+            approx += norms[:, None]
             if len(row_ids) > k:
                 kth = np.partition(approx, k - 1, axis=1)[:, k - 1]
                 slack = 1e-9 * (1.0 + norms + row_norms.max())
                 hit_q, hit_r = np.nonzero(approx <= (kth + slack)[:, None])
             else:
                 hit_q, hit_r = (a.ravel() for a in np.indices(approx.shape))
-            exact = ((q[hit_q] - rows[hit_r]) ** 2).sum(axis=1)
+            del approx
+            exact = _measure(q, rows, hit_q, hit_r)
             order = np.lexsort((row_ids[hit_r], exact, hit_q))
             hit_q, hit_r, exact = hit_q[order], hit_r[order], exact[order]
             place = np.arange(len(hit_q)) - np.searchsorted(hit_q, hit_q, side="left")

@@ -183,3 +183,17 @@ def test_heavy_tokens_are_looked_up_apart(spark, monkeypatch):
         assert {r.n: r.id for r in found.collect()} == expected and found.count() == len(words_)
     plan = large._jdf.queryExecution().optimizedPlan().toString()
     assert "LeftAnti" in plan and "strategy=broadcast" in plan
+
+
+def test_block_topk_measures_copies_in_pieces(monkeypatch):
+    taken, measure = [], neighbours.PIECE_PAIRS
+
+    class Rows(np.ndarray):
+        def __getitem__(self, key):
+            if isinstance(key, np.ndarray) and key.dtype.kind == "i":
+                taken.append(len(key))
+            return super().__getitem__(key)
+
+    rows = np.zeros((3000, 2)).view(Rows)  # copies: every pair ties
+    found = neighbours.block_topk(np.arange(20), np.zeros((20, 2)), np.arange(3000), rows, 2)
+    assert found["row_id"].tolist() == [0, 1] * 20 and max(taken) <= measure
