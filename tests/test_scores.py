@@ -1,4 +1,5 @@
 import math
+import random
 from collections import Counter
 
 import pytest
@@ -80,6 +81,22 @@ def test_bleu(spark, pairs):
     assert score.first()["bleu"] == pytest.approx(bleu_by_hand(pairs))
 
 
+@pytest.mark.parametrize("most", [1 << 20, 30, 4])
+def test_bleu_groups_by_spark_only_what_large_lines_have(spark, monkeypatch, most):
+    draw = random.Random(most)
+    text = lambda: " ".join(draw.choice("abcd") for _ in range(draw.randrange(25)))
+    lines = [(text(), [text() for _ in range(draw.randrange(1, 4))]) for _ in range(60)] + [("a b c d " * 50, ["b c d a " * 40])]
+    hyp = spark.createDataFrame([(i, h) for i, (h, _) in enumerate(lines)], "id int, h string")
+    ref = spark.createDataFrame([(i, k, r) for i, (_, rs) in enumerate(lines) for k, r in enumerate(rs)], "id int, k int, r string")
+    grouped, ngrams = [], evaluate._ngrams
+    monkeypatch.setattr(evaluate, "_ngrams", lambda df, *a: grouped.append({r.id for r in df.select("id").collect()}) or ngrams(df, *a))
+    monkeypatch.setattr(evaluate, "LINE_TOKENS", most)
+    score = evaluate.bleu(hyp.select("id", words("h").alias("h")), ref.select("id", "k", words("r").alias("r")), "id", "h", "r", "k")
+    assert score.first()["bleu"] == pytest.approx(bleu_by_hand(lines))
+    sizes = [len(h.split()) + sum(len(r.split()) for r in rs) for h, rs in lines]
+    assert grouped == [{i for i, n in enumerate(sizes) if n > most}]
+
+
 def test_bleu_counts_lines_without_a_reference(spark):
     hyp = spark.createDataFrame([(0, ["a", "b", "c", "d"]), (1, ["e", "f"])], "id int, h array<string>")
     ref = spark.createDataFrame([(0, 0, ["a", "b", "c", "d"])], "id int, k int, r array<string>")
