@@ -287,3 +287,16 @@ def test_weighted_draws_by_range_equal_the_literal_table(spark, monkeypatch):
     literal = drawn()
     monkeypatch.setattr(splits, "LITERAL_KEYS", 5)
     assert len(literal) == 500 and drawn() == literal
+
+
+def test_token_pieces_bound_what_is_held_at_once():
+    import pyarrow as pa
+
+    from corpusweave.operators.vocab import token_pieces
+
+    lists = [["a"] * n for n in (3, 0, 4, 9, 1, 2)] + [None, ["b"] * 5]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(8)), pa.array(lists, pa.list_(pa.string()))], ["id", "t"])
+    found = list(token_pieces([batch], 1, 5))
+    assert [p.column(0).to_pylist() for p in found] == [[0, 1], [2], [3], [4, 5, 6], [7]]
+    assert [t for p in found for t in p.column(1).to_pylist()] == lists
+    assert [p.num_rows for p in token_pieces([batch], 1)] == [8]
