@@ -8,6 +8,7 @@ import tokenize as pytok
 import warnings
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +19,8 @@ from ..functions.text import PYTHON_PIECES, normalize_comment, tokenize_literal
 
 # Layout marks in token streams.
 NEW_LINE, INDENT, DEDENT = "NEW_LINE", "INDENT", "DEDENT"
+# Characters of source whose tokens a task holds as Python objects at a time; a longer source is on its own.
+CHARS_AT_ONCE = 1 << 18
 TOKEN_SCHEMA = "array<struct<kind:string,text:string>>"
 
 
@@ -90,11 +93,22 @@ def _marks_or_error(code, keep_comments: bool):
     return marks, "ok"
 
 
+def _source_pieces(batches: Iterator[pd.DataFrame], most: int = CHARS_AT_ONCE) -> Iterator[pd.DataFrame]:
+    """The rows of each batch in runs with about `most` characters of `code`."""
+    for batch in batches:
+        ends = np.cumsum([0 if text is None else len(text) for text in batch["code"]])
+        lo = 0
+        while lo < len(batch):
+            hi = max(lo + 1, int(ends.searchsorted((ends[lo - 1] if lo else 0) + most, side="right")))
+            yield batch.iloc[lo:hi].reset_index(drop=True)
+            lo = hi
+
+
 def tokenize_python(df: DataFrame, row_id: str, code: str, keep_comments: bool = False) -> DataFrame:
     """(row, status, tokens). Sources that do not tokenise get status `error…` and no tokens."""
 
     def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in _source_pieces(batches):
             found = [_marks_or_error(text, keep_comments) for text in batch["code"]]
             yield pd.DataFrame({row_id: batch[row_id], "marks": [m for m, _ in found], "status": [s for _, s in found]})
 

@@ -144,3 +144,14 @@ def test_mask_weighted_counts(spark):
     picked = augment.mask_weighted(df, weights, "b", "id", "ids", 0.1, 1)
     assert picked.count() == int(np.ceil(0.1 * 3 * 202))
     assert picked.filter("token_id < 600").count() == 0
+
+
+def test_source_pieces_bound_what_is_held_at_once():
+    import pandas as pd
+
+    from corpusweave.operators.extract import _source_pieces
+
+    texts = ["abc", None, "d", "e" * 9, "", "fg", None]
+    found = list(_source_pieces([pd.DataFrame({"id": range(7), "code": texts}), pd.DataFrame({"id": [7], "code": [None]})], 4))
+    assert [p["id"].tolist() for p in found] == [[0, 1, 2], [3], [4, 5, 6], [7]]
+    assert [t for p in found for t in p["code"]] == [*texts, None]
