@@ -217,6 +217,37 @@ def test_language_model(docs, rows_of, none):
     assert score_texts(none).count() == 0
 
 
+def test_learning_leaves_an_id_out_of_all_its_own_counts():
+    """The shares that an id learns from are those counted without it."""
+
+    def counts(ids):
+        classes = np.arange(5)
+        pairs = np.zeros((net.CLASSES + 1, net.CLASSES))
+        np.add.at(pairs, (classes[ids[:-1]], classes[ids[1:]]), 1)
+        smooth = np.bincount(ids, minlength=5) + 0.5
+        return smooth, pairs
+
+    def shares(smooth, pairs, own):
+        after = pairs.sum(1) + 5.0
+        pair = ((pairs + 5 * own) / after[:, None]).astype(np.float32)
+        totals = smooth.sum(), np.bincount(np.arange(5), smooth, net.CLASSES), after
+        none, n = np.zeros(0, np.uint64), np.zeros(0)
+        return net.Shares(np.arange(5), smooth / smooth.sum(), np.ones(5), pair, totals, np.ones(5, bool), none, n, none, n)
+
+    ids = np.array([0, 1, 2, 1, 3, 4])
+    smooth, pairs = counts(ids)
+    own = np.full(net.CLASSES, 1 / net.CLASSES)
+    lengths, rarer = np.array([len(ids)]), np.zeros((2, len(ids)), np.float32)
+    learnt = net.describe(ids, lengths, shares(smooth, pairs, own), rarer, np.arange(len(ids)))[2]
+    for at in range(1, len(ids)):
+        less, without = smooth.copy(), pairs.copy()
+        less[ids[at]] -= 1
+        without[ids[at - 1], ids[at]] -= 1
+        outside = net.describe(ids, lengths, shares(less, without, own), rarer)[2]
+        assert np.allclose(learnt[at, 0], outside[at, 0], rtol=1e-5)
+        assert np.allclose(learnt[at, 1], outside[at, 1], rtol=1e-4)
+
+
 def test_language_model_knows_rarer_continuations(docs, monkeypatch):
     monkeypatch.setattr(language_model, "ROUNDS", 0)  # weights as they begin, the counts alone differ
     whole = {(r.doc_id, r.n_tokens): r.score for r in score_texts(docs).collect()}
