@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
+from ..functions.binding import let
 from ..functions.code import is_python3
 from ..functions.text import PYTHON_PIECES, normalize_comment, tokenize_literal
 
@@ -198,10 +199,16 @@ def extract_functions(df: DataFrame, row_id: str, tokens: str, lang: str) -> Dat
         for batch in batches:
             yield batch.map(lambda t: [{"start": a, "end": b} for a, b in find(list(t))] if t is not None else [])
 
-    cut = df.select(row_id, tokens, F.posexplode(spans(F.col(tokens))).alias("pos", "s")).select(
-        row_id, "pos", F.slice(tokens, F.col("s.start") + 1, F.col("s.end") - F.col("s.start")).alias("__f")
+    def function(s: Column) -> Column:
+        body = F.slice(tokens, s["start"] + 1, s["end"] - s["start"])
+        return let(body, lambda f: F.struct(f.alias("f"), F.array_join(f, " ").alias("t")))
+
+    # cut before they become rows: a row holds its function, not all tokens of its source
+    functions = df.select(row_id, tokens, spans(F.col(tokens)).alias("__s")).select(
+        row_id, F.posexplode(F.transform("__s", function)).alias("pos", "__c")
     )
-    text = F.array_join("__f", " ")
+    cut = functions.select(row_id, "pos", F.col("__c.f").alias("__f"), F.col("__c.t").alias("__t"))
+    text = F.col("__t")
     if lang == "python":
         after = F.get("__f", F.array_position("__f", "(").cast("int"))
         kind = F.when(after == "self", "class").otherwise("standalone")

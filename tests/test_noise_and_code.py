@@ -155,3 +155,19 @@ def test_source_pieces_bound_what_is_held_at_once():
     found = list(_source_pieces([pd.DataFrame({"id": range(7), "code": texts}), pd.DataFrame({"id": [7], "code": [None]})], 4))
     assert [p["id"].tolist() for p in found] == [[0, 1, 2], [3], [4, 5, 6], [7]]
     assert [t for p in found for t in p["code"]] == [*texts, None]
+
+
+def test_function_rows_do_not_carry_their_whole_source(spark):
+    """Rows of functions are as long as the functions, not as their sources."""
+    df = spark.createDataFrame([(1, "def f ( self ) : NEW_LINE INDENT x DEDENT y".split(), 0)], "id int, tokens array<string>, n int")
+    found = extract.extract_functions(df, "id", "tokens", "python")
+    assert [(r.kind, r.pos, r.function) for r in found.collect()] == [("class", 0, "def f ( self ) : NEW_LINE INDENT x DEDENT")]
+
+    def nodes(plan):
+        yield plan
+        below = plan.children()
+        for i in range(below.size()):
+            yield from nodes(below.apply(i))
+
+    made = [n for n in nodes(found._jdf.queryExecution().optimizedPlan()) if n.nodeName() == "Generate"]
+    assert made and all("tokens" not in n.output().toString() for n in made)
