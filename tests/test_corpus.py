@@ -300,3 +300,13 @@ def test_token_pieces_bound_what_is_held_at_once():
     assert [p.column(0).to_pylist() for p in found] == [[0, 1], [2], [3], [4, 5, 6], [7]]
     assert [t for p in found for t in p.column(1).to_pylist()] == lists
     assert [p.num_rows for p in token_pieces([batch], 1)] == [8]
+
+
+def test_apply_bpe_takes_a_bounded_number_of_tokens_at_a_time(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(bpe, "TOKENS_AT_ONCE", 3)
+    batch = pa.RecordBatch.from_pydict({"id": [1, 2, 3, 4], "tokens": [["low", "lo"], ["low"], [], ["lower", "w", "low", "o"]]})
+    runs = list(bpe._segmented(iter([batch]), "id", {("l", "o"): 0, ("lo", "w</w>"): 1}))
+    assert [b.column(0).to_pylist() for b in runs] == [[1, 2, 3], [4]]
+    assert [t for b in runs for t in b.column(1).to_pylist()] == ["low l@@ o", "low", "", "lo@@ w@@ e@@ r w low o"]
