@@ -197,3 +197,18 @@ def test_block_topk_measures_copies_in_pieces(monkeypatch):
     rows = np.zeros((3000, 2)).view(Rows)  # copies: every pair ties
     found = neighbours.block_topk(np.arange(20), np.zeros((20, 2)), np.arange(3000), rows, 2)
     assert found["row_id"].tolist() == [0, 1] * 20 and max(taken) <= measure
+
+
+def test_small_datastores_cut_fragments_from_pairs(spark):
+    """Fragments of the pairs are those of the store's rows; the prefixes are not read for them."""
+    from corpusweave.plans import correction
+
+    rows = [(1, "a_b", "x y z", "p q r s t u v w"), (2, "a_b", "x y z", "p q r s t u v w"), (3, "b_a", "", "k"), (4, "b_a", "m", ""), (5, "b_a", "m n o p q r", "a b c d e f")]
+    pairs = spark.createDataFrame(rows, "pair_id long, language_pair string, source string, target string")
+    unique = correction.unique_pairs(pairs)
+    assert unique.count() == 4
+    store = correction.datastore_from_unique(unique)
+    slow, fast = correction.small_datastores(store), correction.small_datastores(store, unique)
+    for part in ("eos", "pre_eos", "fragments"):
+        assert sorted(map(str, slow[part].collect())) == sorted(map(str, fast[part].collect()))
+    assert "__id" not in fast["fragments"]._jdf.queryExecution().optimizedPlan().toString()
