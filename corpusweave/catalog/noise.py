@@ -6,6 +6,7 @@ from ..functions import text
 from ..functions.arrays import wrap_ids
 from ..functions.hashing import uniform
 from ..operators import augment, batching, extract, vocab
+from ..session import land
 from .base import DOCS, docs, pairs, query, sql_uniform, sql_words, table
 
 _W = f"w AS (SELECT doc_id, [1] || [(length(t) + 514)::INT FOR t IN {sql_words('text')}] || [1] AS ids FROM documents)"
@@ -44,8 +45,8 @@ s AS (SELECT batch, ceil(0.15 * count(*) * max(n)) AS k FROM z GROUP BY batch),
 q AS (SELECT batch, doc_id, i, x, row_number() OVER (PARTITION BY batch ORDER BY round(-ln(1 - {_u('3', 'doc_id', 'i')}) / weight, 9), doc_id, i) AS rn FROM t JOIN wt USING (x) JOIN z USING (doc_id))
 SELECT batch::BIGINT AS batch, doc_id, i AS pos, x AS token_id FROM q JOIN s USING (batch) WHERE rn <= k AND i > 0""")
 def _(spark, sf):
-    d = _wrapped(spark, sf)
-    counts = d.select(F.explode("ids").alias("id")).groupBy("id").count()
+    d = land(_wrapped(spark, sf), "mask-rows")  # words are found once for counts, lengths and slots
+    counts = land(d.select(F.explode("ids").alias("id")).groupBy("id").count(), "mask-counts")
     weights = counts.select("id", F.pow(F.col("count").cast("double"), F.lit(-0.5)).alias("weight"))
     sized = d.select("doc_id", (F.size("ids") - 2).alias("n"))
     batches = batching.token_batches(sized, "doc_id", ["n"], 20_000).select("doc_id", "batch")

@@ -13,7 +13,7 @@ from ..functions.arrays import EOS, MASK, PAD
 from ..functions.binding import let
 from ..functions.hashing import _col, uniform
 from ..functions.text import format_dictionary, parse_dictionary
-from ..session import hint_if_small
+from ..session import hint_if_small, shuffle_width
 
 FIRST_ORDINARY = 514  # fixed value: first id of an ordinary word
 
@@ -64,16 +64,18 @@ def mask_weighted(
 ) -> DataFrame:
     """(batch, row, pos, token_id) picked per batch: `ceil(p · rows · longest)` draws without
     replacement, weight per id. Smallest exponential keys are such a draw. A batch is
-    bounded by its token budget. Picks at the first position do not count."""
-    sizes = df.groupBy(batch).agg(
-        F.ceil(F.lit(p) * F.count(F.lit(1)) * F.max(F.size(ids))).alias("__n")
-    )
-    slots = df.select(batch, row_id, F.posexplode(ids).alias("pos", "__id"))
+    bounded by its token budget: its rows move as arrays, once, and become slots in the task
+    that ranks them. Picks at the first position do not count."""
+    whole = Window.partitionBy(batch)
+    size = F.ceil(F.lit(p) * F.count(F.lit(1)).over(whole) * F.max(F.size(ids)).over(whole))
+    rows = df.select(batch, row_id, ids).filter(F.col(batch).isNotNull())
+    rows = rows.repartition(shuffle_width(df), batch).withColumn("__n", size)
+    slots = rows.select(batch, row_id, "__n", F.posexplode(ids).alias("pos", "__id"))
     known = hint_if_small(weights.filter("weight > 0").select(F.col("id").alias("__id"), "weight"), 16)
     draw = -F.log(1.0 - uniform(seed, row_id, "pos")) / F.col("weight")
     keyed = slots.join(known, "__id").withColumn("__key", draw)
     order = Window.partitionBy(batch).orderBy("__key", row_id, "pos")
-    ranked = keyed.withColumn("__rank", F.row_number().over(order)).join(sizes, batch)
+    ranked = keyed.withColumn("__rank", F.row_number().over(order))
     kept = (F.col("__rank") <= F.col("__n")) & (F.col("pos") > 0) & (F.col("__id") != PAD)
     return ranked.filter(kept).select(batch, row_id, "pos", F.col("__id").alias("token_id"))
 

@@ -146,6 +146,25 @@ def test_mask_weighted_counts(spark):
     assert picked.filter("token_id < 600").count() == 0
 
 
+def test_mask_weighted_reads_its_rows_once_and_moves_them_whole(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(frames):
+        for frame in frames:
+            made.add(len(frame))
+            yield frame
+
+    rows = spark.createDataFrame([(1, 0, [1, 600, 700, 1]), (1, None, [1, 600, 600, 600, 1]), (2, 0, [1, 700, 2, 1]), (3, 0, None)], "id int, b int, ids array<int>")
+    df = rows.mapInPandas(counted, rows.schema)
+    weights = spark.createDataFrame([(i, 1.0) for i in (1, 2, 600, 700)], "id int, weight double")
+    picked = augment.mask_weighted(df, weights, "b", "id", "ids", 1.0, 1)
+    # rows of no batch, first positions and padding are not picked; a row without ids counts for the size
+    assert sorted(map(tuple, picked.collect())) == [(0, 1, 1, 600), (0, 1, 2, 700), (0, 1, 3, 1), (0, 2, 1, 700), (0, 2, 3, 1)]
+    assert made.value == rows.count()
+    plan = picked._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("RepartitionByExpression")  # slots are made above the shuffle
+
+
 def test_source_pieces_bound_what_is_held_at_once():
     import pandas as pd
 
