@@ -286,3 +286,41 @@ def test_warc(spark):
     assert all(r.request and r.metadata for r in found)
     assert {r.page_id: r.response.payload for r in found if r.response.record_type == "response"}[None] == "é"
     assert read_captures(spark, write_archives(pages.filter("page_id < 0"))).count() == 0
+
+
+def test_rows_are_added_as_one_by_one():
+    draw = np.random.default_rng(3)
+    for index in (draw.integers(0, 7, (5, 40)), np.zeros((0, 4), np.int64)):
+        rows = draw.standard_normal((*index.shape, 3)).astype(np.float32)
+        found, wanted = np.zeros((2, 9, 3), np.float32)
+        net.add_rows(found, index, rows)
+        for i, row in zip(index.ravel(), rows.reshape(-1, 3), strict=True):
+            wanted[i] += row
+        assert found.tobytes() == wanted.tobytes()
+
+
+def test_learning_steps_are_those_of_each_weight_by_itself():
+    draw = np.random.default_rng(5)
+    lengths = np.array([1, 130, 2000])
+    ids = draw.integers(0, 300, lengths.sum())
+    counted = draw.random((len(ids), 3)).astype(np.float32)
+    described = np.roll(ids, 1), ids, counted, draw.integers(0, net.LEVELS, len(ids)), np.cumsum(lengths) - lengths
+    text, at = net.windows(lengths)
+    start = net.initial()
+    found = net.train(start, described, lengths, text, at, 0.02)
+    own = {k: x.copy() for k, x in start.items()}
+    m, s = ({k: np.zeros_like(x) for k, x in own.items()} for _ in range(2))
+    for step, lo in enumerate(range(0, len(text), net.BATCH // 2), 1):
+        part = slice(lo, lo + net.BATCH // 2)
+        for k, g in net.gradients(own, net.gather(described, lengths, text[part], at[part])).items():
+            m[k], s[k] = 0.9 * m[k] + 0.1 * g, 0.99 * s[k] + 0.01 * g * g
+            own[k] -= 0.02 * (m[k] / (1 - 0.9**step)) / (np.sqrt(s[k] / (1 - 0.99**step)) + 1e-6)
+    assert {k: x.tobytes() for k, x in found.items()} == {k: x.tobytes() for k, x in own.items()}
+    assert all((start[k] == x).all() for k, x in net.initial().items())
+
+
+def test_places_of_windows():
+    lengths = np.array([100, 0, 3])
+    first = np.cumsum(lengths) - lengths
+    text, at = np.array([0, 2]), np.array([48, 0])
+    assert net.window_places(lengths, text, at).tolist() == [*range(first[0] + 32, first[0] + 96), *range(first[2], first[2] + 3)]
