@@ -305,26 +305,30 @@ def _arrays_of(wanted: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     return land(arrays, "jaccard-arrays")
 
 
-def _labels(rows: DataFrame, links: DataFrame) -> DataFrame:
+def _labels(rows: DataFrame, linked: DataFrame) -> DataFrame:
     """The rows with the component that the links so far give them, by default their own."""
-    linked = components(links)
     return rows.join(linked, rows["row"] == linked["node"], "left").select(*rows.columns, F.coalesce("component", "row").alias("component"))
 
 
 def _join_heaps(heaps: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
-    """Links that join the components of each heap (row, heap)."""
+    """Links that join the components of each heap (row, heap): after the first deal, those found
+    last, and one of each row to its component so far."""
     sides = heaps.groupBy("heap").agg(F.ceil(F.count(F.lit(1)) / SIDE).cast("int").alias("sides"))
     members = land(heaps.join(sides, "heap"), "jaccard-members")
-    links = None
+    links = linked = None
 
     def joined(dealt: DataFrame) -> DataFrame:
         full = dealt.join(arrays, "row").select(F.col("heap").alias("tile"), "i", "j", (F.octet_length("data") / 8).cast("bigint").alias("n"), "row", "component", "data")
         found = _dealt(full, percent, exact=True)
-        return land(found if links is None else links.unionByName(found), "jaccard-links")
+        if linked is not None:
+            found = found.unionByName(linked.filter("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")))
+        return land(found, "jaccard-links")
 
     def parted(rows: DataFrame) -> DataFrame:
         """Labelled rows of the heaps that do not hang together yet."""
-        rows = land(_labels(rows, links), "jaccard-labels")
+        nonlocal linked
+        linked = components(links)
+        rows = land(_labels(rows, linked), "jaccard-labels")
         open_heaps = rows.groupBy("heap").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high")
         return rows.join(open_heaps.select("heap"), "heap", "left_semi")
 

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import random
 import zlib
 
 import numpy as np
@@ -10,6 +11,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from corpusweave.llm import attention as net
+from corpusweave.llm import components as components_of
 from corpusweave.llm import jaccard, language_model
 from corpusweave.llm.components import components
 from corpusweave.llm.encoding import tokenizer_path
@@ -201,6 +203,39 @@ def test_heaps_of_few_links(spark, monkeypatch):
     assert len(dealt) == 3 and max(dealt) < 5 * 16
 
 
+def test_components_take_rounds_of_few_tasks(spark, monkeypatch):
+    """Many shuffle partitions bring a small table no file and task each; equal links are one."""
+    odd = {"spark.sql.shuffle.partitions": "24", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    usual = {key: spark.conf.get(key) for key in odd}
+    try:
+        for key, value in odd.items():
+            spark.conf.set(key, value)
+        draw = random.Random(5)
+        chain = [(i, i + 1) for i in range(1, 40)]
+        pairs = chain + chain[:20] + [(1000, 2000 + i) for i in range(300)] + [(draw.randrange(3000, 3300), draw.randrange(3300, 3600)) for _ in range(250)]
+        draw.shuffle(pairs)
+        top = {}
+
+        def root(x):
+            while top.setdefault(x, x) != x:
+                x = top[x]
+            return x
+
+        for a, b in pairs:
+            low, high = sorted((root(a), root(b)))
+            top[high] = low
+        landed, land = [], components_of.land
+        monkeypatch.setattr(components_of, "land", lambda *a: landed.append(land(*a)) or landed[-1])
+        links = spark.createDataFrame([draw.sample(p, 2) for p in pairs], "a long, b long").repartition(3)
+        found = components(links).collect()
+        assert sorted((r.node, r.component) for r in found) == sorted((x, root(x)) for x in list(top))
+        assert max(len(t.inputFiles()) for t in landed) <= spark.sparkContext.defaultParallelism
+        assert components(links.filter("a < 0")).count() == 0
+    finally:
+        for key, value in usual.items():
+            spark.conf.set(key, value)
+
+
 def test_language_model(docs, rows_of, none):
     found = sorted(score_texts(docs).collect(), key=lambda r: (str(r.doc_id), r.n_tokens))
     counts, train = collections.Counter(), 0
