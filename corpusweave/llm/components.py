@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..session import land
+from .common import tidy
 
 #: Links that a task holds together to contract them, and rows for which one more task is worth its start.
 TOGETHER = 1 << 20
@@ -33,6 +34,7 @@ def contracted(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[moved], nodes[root[moved]]
 
 
+@tidy
 def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """What the rows of a task join, in runs of bounded size; others of a component may be elsewhere."""
     held, n = [], 0
