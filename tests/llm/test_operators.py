@@ -14,7 +14,7 @@ from corpusweave.llm import attention as net
 from corpusweave.llm import components as components_of
 from corpusweave.llm import jaccard, language_model
 from corpusweave.llm.components import components
-from corpusweave.llm.encoding import tokenizer_path
+from corpusweave.llm.encoding import Encoder, tokenizer_path
 from corpusweave.llm.exact_dedup import exact_duplicates
 from corpusweave.llm.language_model import held_out, score_texts
 from corpusweave.llm.mixing import mix_sources
@@ -354,6 +354,68 @@ def test_learning_steps_are_those_of_each_weight_by_itself():
     assert all((start[k] == x).all() for k, x in net.initial().items())
 
 
+def test_pieces_go_to_the_library_together():
+    own, sent = Encoder(tokenizer_path("word_bpe_49k.json")), []
+
+    class Library:
+        def __init__(self, of):
+            self.of = of
+
+        def encode_batch_fast(self, texts, **named):
+            sent.extend(texts)
+            return self.of.encode_batch_fast(texts, **named)
+
+    draw = random.Random(7)
+    signs = [chr(c) for c in [*range(33, 127), 0x301, 0x308, 0x1112, 0x1161, 0xA0, 0x212B, 0x37E, 0x200D, 0xFF5C, 0x4E00, *range(0xC0, 0x180)]]
+    words = ["".join(draw.choice(signs) for _ in range(draw.randint(1, 9))) for _ in range(3000)]
+    pieces = [*words, *(" " + w for w in words), " ", "\t\n", "|", " ||", "a|b", "'s", ""]
+    assert own._apart(pieces) == own._direct(pieces)
+    own.tokenizer = Library(own.tokenizer)
+    own.encode([" ".join(w for w in words if "|" not in w)])
+    assert 0 < len(sent) < len(words) / 20
+
+
+def test_windows_gathered_together_are_those_of_each_batch(monkeypatch):
+    monkeypatch.setattr(net, "GATHERED", 12)
+    draw = np.random.default_rng(9)
+    lengths = np.array([1, 130, 2000, 3])
+    ids = draw.integers(0, 20, lengths.sum())
+    described = np.roll(ids, 1), ids, draw.random((len(ids), 3)).astype(np.float32), draw.integers(0, net.LEVELS, len(ids)), np.cumsum(lengths) - lengths
+    text, at = net.windows(lengths)
+    w, covered = net.initial(), []
+    for part, batch in net.batches(described, lengths, text, at, 4):
+        alone = net.gather(described, lengths, text[part], at[part])
+        assert batch.keys() == alone.keys() and all((batch[k] == alone[k]).all() for k in alone)
+        assert net.log_probability(w, batch).tobytes() == net.log_probability(w, alone).tobytes()
+        pairs = set()
+        for i, (t, begin) in enumerate(zip(text[part], at[part], strict=True)):
+            own = ids[described[4][t] :][: lengths[t]]
+            for q in range(begin, min(begin + net.SCORED, lengths[t])):
+                pairs |= {(i * net.SCORED + q - begin) * net.WINDOW + p - begin + net.CONTEXT for p in range(max(0, begin - net.CONTEXT), q) if own[p] == own[q]}
+        known = alone["real"][:, None, :] & alone["scored"][:, :, None]
+        assert set(batch["same"][known.ravel()[batch["same"]]].tolist()) == pairs
+        covered.append(part)
+    assert covered[0].start == 0 and covered[-1].stop == len(text) and all(a.stop == b.start for a, b in zip(covered, covered[1:], strict=False))
+
+
+def test_beginnings_of_words_and_lookups_one_by_one():
+    draw = np.random.default_rng(11)
+    lengths = np.array([1, 40, 500, 2])
+    ids, first = draw.integers(0, 30, lengths.sum()), np.cumsum(lengths) - lengths
+    ends_word = draw.random(31) < 0.3
+    plain = np.zeros(len(ids), np.uint64)
+    for i in range(len(ids)):
+        if i not in first and not ends_word[ids[i - 1]]:
+            plain[i] = net.follow(plain[i - 1 : i], ids[i - 1 : i])[0]
+    assert (net.beginnings(ids, first, ends_word) == plain).all()
+    wanted = np.flatnonzero(draw.random(len(ids)) < 0.2)
+    assert (net.beginnings(ids, first, ends_word, wanted)[wanted] == plain[wanted]).all()
+    for keys in (np.unique(draw.integers(0, 1 << 63, 300).astype(np.uint64) * np.uint64(2)), np.zeros(0, np.uint64), np.array([0, 1, 2, (1 << 64) - 1], np.uint64)):
+        asked = np.concatenate([keys, keys + np.uint64(1), draw.integers(0, 1 << 63, 50).astype(np.uint64)])
+        at, hit = net.listed(keys, net.slots(keys), asked)
+        assert hit.tolist() == np.isin(asked, keys).tolist() and (keys[at[hit]] == asked[hit]).all()
+
+
 def test_places_of_windows():
     lengths = np.array([100, 0, 3])
     first = np.cumsum(lengths) - lengths
